@@ -148,7 +148,7 @@ def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def plan_blocks(n: int, max_bits: int = MAX_BITS) -> tuple[list[tuple[int, int]], int]:
     """Blocks as (shift, width), and how many of them two linked fingerprints share at least; keys are about log2(n) bits wide."""
-    for keep in (1, 2, 3, 4):
+    for keep in (2, 3, 4):
         blocks = max_bits + keep
         if keep == 4 or 64 // blocks * keep >= np.log2(max(n, 2)) - 5:
             break
