@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality, simhash
+from . import bpe, quality, simhash, tokenids
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenids.round_trip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -37,6 +41,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op5_token_id_files": op5_token_id_files,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
