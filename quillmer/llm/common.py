@@ -195,3 +195,21 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return labels
+
+
+#: Rows of a table that may be broadcast; larger ones are joined by salted keys.
+BROADCAST_ROWS = 100_000
+SALTS = 32
+
+
+def attach(rows: DataFrame, table: DataFrame, key: str, salt: str) -> DataFrame:
+    """``rows`` left join ``table`` on ``key``, of which ``table`` has each value once.
+
+    A table of at most ``BROADCAST_ROWS`` short rows is broadcast.  Beyond that both sides are dealt by key and salt,
+    so that a key with many rows is spread over ``SALTS`` tasks; ``salt`` names a column of ``rows`` that varies.
+    """
+    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), key, "left")
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
+    right = table.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return left.join(right, [key, "_salt"], "left").drop("_salt")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality, simhash, tokenids
+from . import bpe, quality, simhash, tokenids, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op5_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.round_trip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -42,9 +46,19 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op5_token_id_files": op5_token_id_files,
+    "op7_warc": op7_warc,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
 #: DuckDB SQL of those queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_warc": """
+        WITH d AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n, sha1(coalesce(html, '')) AS h FROM pages),
+        g AS (SELECT h, max(page_id) AS top, count(*) AS k FROM d WHERE n >= 1000 GROUP BY h)
+        SELECT page_id, n AS payload_bytes, d.h AS payload_digest,
+               CASE WHEN k > 1 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN k > 1 AND page_id <> top THEN top END AS refers_to
+        FROM d LEFT JOIN g ON d.h = g.h AND d.n >= 1000
+    """,
+}
