@@ -213,3 +213,38 @@ def attach(rows: DataFrame, table: DataFrame, key: str, salt: str) -> DataFrame:
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
     right = table.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
     return left.join(right, [key, "_salt"], "left").drop("_salt")
+
+
+class Forest:
+    """Union-find over 0..n-1 that remembers the links which joined two trees; a root is the smallest of its tree."""
+
+    def __init__(self, n: int) -> None:
+        self.parent = np.arange(n)
+        self.left: list[int] = []
+        self.right: list[int] = []
+
+    def roots(self) -> np.ndarray:
+        while True:
+            up = self.parent[self.parent]
+            if (up == self.parent).all():
+                return up
+            self.parent = up
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Links x[i] - y[i].  Each round takes one link of each x, then drops those that are within a tree by now."""
+        while len(x):
+            root = self.roots()
+            new = root[x] != root[y]
+            x, y = x[new], y[new]
+            one = np.unique(x, return_index=True)[1]
+            parent = self.parent
+            for u, v in zip(x[one].tolist(), y[one].tolist(), strict=True):
+                ru, rv = u, v
+                while parent[ru] != ru:
+                    ru = parent[ru]
+                while parent[rv] != rv:
+                    rv = parent[rv]
+                if ru != rv:
+                    parent[max(ru, rv)] = min(ru, rv)
+                    self.left.append(u)
+                    self.right.append(v)

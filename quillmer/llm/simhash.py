@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, buffers, connected_components, materialize, mix, pick, signed, text_slices
+from .common import Forest, Words, buffers, connected_components, materialize, mix, pick, signed, text_slices
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -161,34 +161,6 @@ def pivots(count: int = PIVOTS) -> np.ndarray:
     return np.random.default_rng(20240229).integers(0, 1 << 64, count, dtype=np.uint64)
 
 
-class Forest:
-    """Union-find over 0..n-1 that remembers the links which joined two trees."""
-
-    def __init__(self, n: int) -> None:
-        self.parent = np.arange(n)
-        self.left: list[int] = []
-        self.right: list[int] = []
-
-    def add(self, x: np.ndarray, y: np.ndarray) -> None:
-        while True:  # flatten, so that links within a tree drop out at once
-            up = self.parent[self.parent]
-            if (up == self.parent).all():
-                break
-            self.parent = up
-        new = self.parent[x] != self.parent[y]
-        parent = self.parent
-        for u, v in zip(x[new].tolist(), y[new].tolist(), strict=True):
-            ru, rv = u, v
-            while parent[ru] != ru:
-                ru = parent[ru]
-            while parent[rv] != rv:
-                rv = parent[rv]
-            if ru != rv:
-                parent[max(ru, rv)] = min(ru, rv)
-                self.left.append(u)
-                self.right.append(v)
-
-
 class PivotTable:
     """Hamming distances of fingerprints to the pivots."""
 
