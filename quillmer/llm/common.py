@@ -129,11 +129,11 @@ class Words:
     ``starts``/``ends`` index ``raw``; words ``first[i]:first[i+1]`` are those of text i.
     """
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, lower: bool = False) -> None:
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, lower: bool = False, separators: np.ndarray = _WHITE) -> None:
         self.raw = raw = LOWER[raw] if lower else raw
         self.offsets = offsets
         solid = np.zeros(len(raw) + 2, bool)
-        np.logical_not(_WHITE[raw], out=solid[1:-1])
+        np.logical_not(separators[raw], out=solid[1:-1])
         begins = solid[1:-1] & ~solid[:-2]
         stops = solid[1:-1] & ~solid[2:]
         inner = offsets[(offsets > 0) & (offsets < len(raw))]  # words don't cross texts

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality, simhash, tokenids, vectors, warc
+from . import bpe, licenses, mixing, quality, simhash, tokenids, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op4_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -33,6 +37,10 @@ def op5_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.round_trip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -50,7 +58,9 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
+    "op4_poisson_mixing": op4_poisson_mixing,
     "op5_token_id_files": op5_token_id_files,
+    "op6_license_scan": op6_license_scan,
     "op7_warc": op7_warc,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
@@ -58,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL of those queries that SQL can express.
 ORACLES: dict[str, str] = {
+    "op4_poisson_mixing": mixing.ORACLE,
     "op7_warc": """
         WITH d AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n, sha1(coalesce(html, '')) AS h FROM pages),
         g AS (SELECT h, max(page_id) AS top, count(*) AS k FROM d WHERE n >= 1000 GROUP BY h)
