@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, mixing, quality, simhash, tokenids, vectors, warc
+from . import bpe, licenses, mixing, quality, simhash, suffixes, tokenids, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_warc": op7_warc,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 #: DuckDB SQL of those queries that SQL can express.
