@@ -10,7 +10,7 @@ control bytes (four ids each); data bytes.
 
 Defined results: a null text counts as empty and holds the end id alone; rows with a null id come first, of equal
 ids in the order of their token ids; repeated rows are written each; an empty table gives no file and an empty
-result; other columns are ignored.  A block is closed at ``BLOCK_IDS`` ids, so one block and one text bound memory.
+result; other columns are ignored.  A block is closed at about ``BLOCK_IDS`` ids, so one block and one text bound memory.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, scratch, text_slices
+from .common import buffers, materialize, pick, scratch, text_slices
 from .files import publishing, reading
 
 MAGIC = b"QTOKIDS1"
@@ -68,15 +68,39 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 class WordTokenizer:
-    """A tokenizer whose ids of a text are those of its white-space-separated words, one after another; words are remembered."""
+    """A tokenizer whose ids of a text are those of its white-space-separated words, one after another; words are remembered.
+
+    Words not seen lately are tokenized many at once, parted by a mark of one id that none of them holds.
+    """
+
+    MARK = "\x01"
+    MEMO = 400_000
 
     def __init__(self, raw: bytes) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(raw)
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        mark = self._ids([self.MARK])[0]
+        self.mark = int(mark[0]) if len(mark) == 1 else None
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new(self, words: list[str]) -> list[bytes]:
+        """Ids of each word."""
+        if self.mark is None or any(self.MARK in w for w in words):
+            return [np.array(x, self.dtype).tobytes() for x in self._ids(words)]
+        ids = np.array(self._ids([f"\n{self.MARK}\n".join(words)])[0], self.dtype)
+        cut = self.dtype.itemsize * np.flatnonzero(ids == self.mark)
+        if len(cut) != len(words) - 1:
+            return [np.array(x, self.dtype).tobytes() for x in self._ids(words)]
+        data, begin = ids.tobytes(), [0, *(cut + self.dtype.itemsize).tolist()]
+        return [data[a:z] for a, z in zip(begin, [*cut.tolist(), len(data)], strict=True)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each text's begin."""
@@ -84,28 +108,29 @@ class WordTokenizer:
         offsets = lists.offsets.to_numpy()
         coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if len(self.memo) > 300_000:
+        if len(self.memo) > self.MEMO:
             self.memo, self.old = {}, self.memo
-        new = [w for w in words if w not in self.memo]
+        memo, old = self.memo, self.old
+        found = list(map(memo.get, words))
+        missing = [i for i, x in enumerate(found) if x is None]
         ask = []
-        for w in new:
-            had = self.old.get(w)
-            if had is None:
-                ask.append(w)
+        for i in missing:
+            x = old.get(words[i])
+            if x is None:
+                ask.append(i)
             else:
-                self.memo[w] = had
-        for at in range(0, len(ask), 4096):
-            part = ask[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memo[w] = np.array(e.ids, "<u4").tobytes()
-        found = [self.memo[w] for w in words]
-        flat = np.frombuffer(b"".join(found), "<u4")
-        lens = np.fromiter(map(len, found), np.int64, len(found)) // 4
+                found[i] = memo[words[i]] = x
+        for at in range(0, len(ask), 1024):
+            part = ask[at : at + 1024]
+            for i, x in zip(part, self._new([words[i] for i in part]), strict=True):
+                found[i] = memo[words[i]] = x
+        flat = np.frombuffer(b"".join(found), self.dtype)
+        lens = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
         begin = np.cumsum(lens) - lens
         index = coded.indices.to_numpy()
         n = lens[index] if len(index) else np.zeros(0, np.int64)
         ends = np.cumsum(n)
-        ids = flat[np.arange(ends[-1] if len(n) else 0) + np.repeat(begin[index] - ends + n, n)] if len(n) else flat[:0]
+        ids = flat[np.arange(ends[-1]) + np.repeat(begin[index] - ends + n, n)] if len(n) else flat[:0]
         bounds = np.append(0, ends)
         return ids, bounds[offsets - offsets[0]]
 
@@ -114,7 +139,7 @@ _MADE: dict[int, WordTokenizer] = {}
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
-    """(doc_id, ids): the ids of each text and the end id, as little-endian uint32."""
+    """(doc_id, width, ids): the ids of each text and the end id, little-endian in ``width`` bytes each."""
     with open(tokenizer_path, "rb") as f:
         raw = docs.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary
 
@@ -123,21 +148,24 @@ def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
         if key not in _MADE:
             _MADE.clear()
             _MADE[key] = WordTokenizer(raw.value)
-        for b in text_slices(batches, "text", 8 << 20):
-            ids, bounds = _MADE[key].encode(b.column("text"))
+        tool = _MADE[key]
+        width = tool.dtype.itemsize
+        for b in text_slices(batches, "text", 16 << 20):
+            ids, bounds = tool.encode(b.column("text"))
             n = b.num_rows
-            with_end = np.insert(ids, bounds[1:], end_id).astype("<u4")
-            offsets = 4 * (bounds + np.arange(n + 1))
+            with_end = np.insert(ids, bounds[1:], end_id)
+            offsets = width * (bounds + np.arange(n + 1))
             made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(with_end)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.int64()), made], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.int64()), pa.array(np.full(n, width, np.int8)), made], ["doc_id", "width", "ids"])
 
-    return pick(docs, id=id_col, text=text_col).mapInArrow(run, "doc_id long, ids binary")
+    return pick(docs, id=id_col, text=text_col).mapInArrow(run, "doc_id long, width byte, ids binary")
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of a column of id lists, and the number in each."""
-    lens = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // 4
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4"), lens
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a batch, and the number in each row."""
+    width = batch.column("width")[0].as_py()
+    raw, offsets = buffers(batch.column("ids"))
+    return raw.view(f"<u{width}"), np.diff(offsets) // width
 
 
 def ranking(ids: DataFrame) -> np.ndarray:
@@ -146,7 +174,7 @@ def ranking(ids: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in text_slices(batches, "ids", 16 << 20):
-            got = np.bincount(_flat(b.column("ids"))[0])
+            got = np.bincount(_flat(b)[0])
             if len(got) > len(total):
                 got[: len(total)] += total
                 total = got
@@ -155,12 +183,12 @@ def ranking(ids: DataFrame) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "n"])
 
-    counts = ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    counts = ids.select("width", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     return counts.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy(np.uint32)
 
 
 def write_files(ids: DataFrame, folder: str, partitions: int | None = None) -> DataFrame:
-    """Write (doc_id, ids) in ascending order of doc_id; (shard, path, n_docs, n_ids) of each file, in that order."""
+    """Write (doc_id, width, ids) in ascending order of doc_id; (shard, path, n_docs, n_ids) of each file, in that order."""
     spark = ids.sparkSession
     by_rank = ranking(ids)
     table = spark.sparkContext.broadcast(by_rank)
@@ -170,7 +198,7 @@ def write_files(ids: DataFrame, folder: str, partitions: int | None = None) -> D
         by_rank = table.value
         rank = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 0, np.uint32)
         rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
-        slices = text_slices(batches, "ids", 4 * BLOCK_IDS)
+        slices = text_slices(batches, "ids", 2 * BLOCK_IDS)
         head = next(slices, None)
         if head is None:
             return
@@ -181,7 +209,7 @@ def write_files(ids: DataFrame, folder: str, partitions: int | None = None) -> D
             out.write(MAGIC + struct.pack("<I", len(by_rank)) + by_rank.astype("<u4").tobytes())
             block = head
             while block is not None:
-                flat, lens = _flat(block.column("ids"))
+                flat, lens = _flat(block)
                 control, data = pack(rank[flat])
                 names = block.column("doc_id")
                 out.write(struct.pack("<IQQ", len(lens), len(flat), len(data)))
