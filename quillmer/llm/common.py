@@ -8,6 +8,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import uuid
@@ -15,6 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -215,6 +217,31 @@ def attach(rows: DataFrame, table: DataFrame, key: str, salt: str) -> DataFrame:
     return left.join(right, [key, "_salt"], "left").drop("_salt")
 
 
+def pack(level: int = 1, **arrays: np.ndarray) -> bytes:
+    """Named arrays in one compressed block; integers in the narrowest width that holds them."""
+    head, parts = {}, []
+    for name, a in arrays.items():
+        if a.dtype.kind in "iu" and (not len(a) or int(a.min()) >= 0):
+            top = int(a.max()) if len(a) else 0
+            a = a.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8")
+        head[name] = [a.dtype.str, len(a)]
+        # bytes of like significance next to each other compress better
+        parts.append(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() if len(a) else b"")
+    text = json.dumps(head).encode()
+    return zstandard.ZstdCompressor(level=level).compress(len(text).to_bytes(4, "little") + text + b"".join(parts))
+
+
+def unpack(body: bytes) -> dict[str, np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(body)
+    size = int.from_bytes(data[:4], "little")
+    at, out = 4 + size, {}
+    for name, (kind, n) in json.loads(data[4:at]).items():
+        width = np.dtype(kind).itemsize
+        out[name] = np.ascontiguousarray(np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T).view(kind).ravel() if n else np.zeros(0, kind)
+        at += n * width
+    return out
+
+
 class Forest:
     """Union-find over 0..n-1 that remembers the links which joined two trees; a root is the smallest of its tree."""
 

@@ -27,18 +27,16 @@ has probability 1 / (number of classes) = 1, that of the unseen; other columns a
 
 from __future__ import annotations
 
-import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, buffers, materialize, mix, pick, scratch, text_slices
+from .common import Words, buffers, materialize, mix, pack, pick, scratch, text_slices, unpack
 from .files import publishing, reading
 
 K = 5
@@ -53,31 +51,6 @@ def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
 
 
-def pack(**arrays: np.ndarray) -> bytes:
-    """Named arrays in one compressed block; integers in the narrowest width that holds them."""
-    head, parts = {}, []
-    for name, a in arrays.items():
-        if a.dtype.kind in "iu" and (not len(a) or int(a.min()) >= 0):
-            top = int(a.max()) if len(a) else 0
-            a = a.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8")
-        head[name] = [a.dtype.str, len(a)]
-        # bytes of like significance next to each other compress better
-        parts.append(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() if len(a) else b"")
-    text = json.dumps(head).encode()
-    return zstandard.ZstdCompressor(level=1).compress(len(text).to_bytes(4, "little") + text + b"".join(parts))
-
-
-def unpack(body: bytes) -> dict[str, np.ndarray]:
-    data = zstandard.ZstdDecompressor().decompress(body)
-    size = int.from_bytes(data[:4], "little")
-    at, out = 4 + size, {}
-    for name, (kind, n) in json.loads(data[4:at]).items():
-        width = np.dtype(kind).itemsize
-        out[name] = np.ascontiguousarray(np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T).view(kind).ravel() if n else np.zeros(0, kind)
-        at += n * width
-    return out
-
-
 def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     shard, chunk, kind, body = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(chunk, pa.int64()), pa.array(kind, pa.int32()), pa.array(body, pa.binary())], _FIELDS)

@@ -24,24 +24,24 @@ columns are ignored or, by :func:`deduplicated`, kept.  A text is worked on in s
 from __future__ import annotations
 
 import hashlib
-import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, mix, pick, prefix_hashes, span_hashes, text_slices
+from .common import buffers, mix, pack, pick, prefix_hashes, span_hashes, text_slices, unpack
 
 LENGTH = 100
 GRAM = 16
 SEGMENT = 1 << 21
 #: Text that a task holds pieces of before it sends them.
-FLUSH_BYTES = 24 << 20
+FLUSH_BYTES = 16 << 20
 #: Piece bytes that a shard is planned for, and piece bytes for each byte of text.
-SHARD_BYTES = 10 << 20
+SHARD_BYTES = 8 << 20
+#: Piece bytes of one suffix array; more only where one name has more.
+PART_BYTES = 3 << 20
 SPREAD = 3.4
 LAST = (1 << 63) - 1
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -335,43 +335,34 @@ class Outbox:
         fresh = np.append(True, (h[1:] != h[:-1]) | (name[1:] != name[:-1]))
         again = ~fresh
         again[1:] &= (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])
-        packer = zstandard.ZstdCompressor(level=1)
         heads = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
         for a, z in zip(heads, np.append(heads[1:], len(shard)), strict=True):
             f, r = a + np.flatnonzero(fresh[a:z]), a + np.flatnonzero(again[a:z])
             lens = windows[f] + self.length - 1
-            body = b"".join(
-                (
-                    struct.pack("<QQ", len(f), len(r)),
-                    name[f].astype("<u8").tobytes(),
-                    doc[f].astype("<i8").tobytes(),
-                    pos[f].astype("<i8").tobytes(),
-                    lens.astype("<u4").tobytes(),
-                    doc[r].astype("<i8").tobytes(),
-                    pos[r].astype("<i8").tobytes(),
-                    (windows[r] + self.length - 1).astype("<u4").tobytes(),
-                    raw[spans(start[f], lens)].tobytes(),
-                )
+            docs, number = np.unique(doc[a:z], return_inverse=True)
+            body = pack(
+                level=3,
+                content=raw[spans(start[f], lens)],
+                name=mix(name[f]) & np.uint64(0xFFFFFFFF),  # within a shard a short name does: what shares it is only compared
+                docs=docs.view(np.uint64),
+                doc=number[f - a],
+                pos=pos[f],
+                lens=lens,
+                rdoc=number[r - a],
+                rpos=pos[r],
+                rlens=windows[r] + self.length - 1,
             )
-            yield pa.RecordBatch.from_arrays([pa.array([int(shard[a])], pa.int32()), pa.array([packer.compress(body)], pa.binary())], ["shard", "body"])
-
-
-def _unpack(body: bytes) -> tuple:
-    data = zstandard.ZstdDecompressor().decompress(body)
-    n, m = struct.unpack_from("<QQ", data)
-    at, out = 16, []
-    for kind, k in (("<u8", n), ("<i8", n), ("<i8", n), ("<u4", n), ("<i8", m), ("<i8", m), ("<u4", m)):
-        out.append(np.frombuffer(data, kind, k, at))
-        at += k * int(kind[2])
-    return (*out, np.frombuffer(data, np.uint8, offset=at))
+            yield pa.RecordBatch.from_arrays([pa.array([int(shard[a])], pa.int32()), pa.array([body], pa.binary())], ["shard", "body"])
 
 
 def shard_repeats(bodies: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc, start, end) of what goes by the pieces of one shard."""
-    got = [_unpack(b) for b in bodies]
-    name, doc, pos, lens, rdoc, rpos, rlens = (np.concatenate([g[i] for g in got]) for i in range(7))
-    content = np.concatenate([g[7] for g in got])
-    lens = lens.astype(np.int64)
+    got = [unpack(b) for b in bodies]
+    for g in got:
+        ids = g.pop("docs").astype(np.uint64).view(np.int64)
+        g["doc"], g["rdoc"] = ids[g["doc"].astype(np.int64)], ids[g["rdoc"].astype(np.int64)]
+    name, doc, pos, lens, rdoc, rpos, rlens = (np.concatenate([g.pop(k).astype(np.int64) for g in got]) for k in ("name", "doc", "pos", "lens", "rdoc", "rpos", "rlens"))
+    content = np.concatenate([g.pop("content") for g in got])
     begin = np.cumsum(lens) - lens
     h = span_hashes(prefix_hashes(content), begin, begin + lens)
     order = np.lexsort((pos, doc, h, name))
@@ -387,7 +378,7 @@ def shard_repeats(bodies: list[bytes], length: int = LENGTH) -> tuple[np.ndarray
     # shards of few, large names are worked on in parts that don't part a name
     while len(f):
         size = np.cumsum(lens[f])
-        cut = int(np.searchsorted(size, SHARD_BYTES, side="right"))
+        cut = int(np.searchsorted(size, PART_BYTES, side="right"))
         while 0 < cut < len(f) and name[f[cut]] == name[f[cut - 1]]:
             cut += 1
         part, f = (f, f[:0]) if not 0 < cut < len(f) else (f[:cut], f[cut:])
