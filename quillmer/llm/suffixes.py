@@ -341,7 +341,7 @@ class Outbox:
             lens = windows[f] + self.length - 1
             docs, number = np.unique(doc[a:z], return_inverse=True)
             body = pack(
-                level=3,
+                level=5,
                 content=raw[spans(start[f], lens)],
                 name=mix(name[f]) & np.uint64(0xFFFFFFFF),  # within a shard a short name does: what shares it is only compared
                 docs=docs.view(np.uint64),
