@@ -8,6 +8,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import inspect
 import json
 import os
 import tempfile
@@ -50,6 +53,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Give memory that a finished task no longer uses back to the system: workers live on, and their next stage needs room."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only this C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def thrifty(run):
+    """``run`` over batches, or a table, with :func:`trim` at its end."""
+
+    def over_batches(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    def over_table(table: pa.Table) -> pa.Table:
+        out = run(table)
+        trim()
+        return out
+
+    return over_batches if inspect.isgeneratorfunction(run) else over_table
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 

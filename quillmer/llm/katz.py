@@ -36,11 +36,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, buffers, materialize, mix, pack, pick, scratch, text_slices, unpack
+from .common import Words, buffers, materialize, mix, pack, pick, scratch, text_slices, thrifty, unpack
 from .files import publishing, reading
 
 K = 5
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 16 << 20
+#: Unit in which a shard's part of a document's log probability travels.
+UNIT = 2.0**-32
 END = np.uint64(1)  # stands for the end in place of a word's hash
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 ROW = "shard int, chunk long, kind int, body binary"
@@ -117,7 +119,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if held:
             yield made()
 
-    return materialize(pick(docs, id=id_col, text=text_col).mapInArrow(run, ROW), "lm-chunks")
+    return materialize(pick(docs, id=id_col, text=text_col).mapInArrow(thrifty(run), ROW), "lm-chunks")
 
 
 def word_counts(table: DataFrame, shards: int, folder: str) -> tuple[DataFrame, Unigrams]:
@@ -142,7 +144,7 @@ def word_counts(table: DataFrame, shards: int, folder: str) -> tuple[DataFrame,
         rows.append((shard, -1, 1, pack(n=np.bincount(np.minimum(count, K + 2), minlength=K + 3), total=np.array([count.sum()]))))
         return pa.Table.from_batches([_rows(rows)])
 
-    told = materialize(table.mapInArrow(ask, ROW).groupBy("shard").applyInArrow(answer, ROW), "lm-words")
+    told = materialize(table.mapInArrow(thrifty(ask), ROW).groupBy("shard").applyInArrow(thrifty(answer), ROW), "lm-words")
     n, total = np.zeros(K + 3, np.int64), 0
     for row in told.where("kind = 1").select("body").toLocalIterator():  # one row a shard
         x = unpack(row["body"])
@@ -158,7 +160,7 @@ def word_counts(table: DataFrame, shards: int, folder: str) -> tuple[DataFrame,
             out.write(pack(count=np.concatenate([g["count"].astype(np.int64) for g in got]), number=np.concatenate([g["number"].astype(np.int64) for g in got])))
         return pa.table({"chunk": pa.array([chunk], pa.int64())})
 
-    written = materialize(told.where("kind = 0").groupBy("chunk").applyInArrow(keep, "chunk long"), "lm-written")
+    written = materialize(told.where("kind = 0").groupBy("chunk").applyInArrow(thrifty(keep), "chunk long"), "lm-written")
     return written, Unigrams(n, total, int(n[1:].sum()))
 
 
@@ -170,45 +172,59 @@ def _words_of(folder: str, chunk: int) -> dict[str, np.ndarray]:
 # ---- bigrams
 
 
-def bigrams(table: DataFrame, shards: int, folder: str) -> DataFrame:
-    """Rows for the context shards (kind 2), and each chunk's documents with what the words alone tell (kind 3, shard -1)."""
+def documents(table: DataFrame, folder: str) -> DataFrame:
+    """Each chunk's documents with what the words alone tell (kind 3)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, body in zip(b.column("chunk").to_pylist(), b.column("body").to_pylist(), strict=True):
-                x, words = unpack(body), _words_of(folder, chunk)
-                count, token, per_doc = words["count"], x["token"].astype(np.int64), x["counts"].astype(np.int64)
-                doc = np.repeat(np.arange(len(per_doc)), per_doc)
+                x, count = unpack(body), _words_of(folder, chunk)["count"]
+                per_doc, c = x["counts"].astype(np.int64), count[x["token"]]
                 first = np.cumsum(per_doc) - per_doc
-                c = count[token]
                 plus = np.add.reduceat(np.log10(c + 1.0), first)
                 known = np.add.reduceat((c > 0).astype(np.int64), first)
                 yield _rows([(-1, chunk, 3, pack(ids=x["ids"], nulls=x["nulls"], held=x["held"], counts=per_doc, known=known, plus=plus))])
+
+    return table.mapInArrow(thrifty(run), ROW)
+
+
+def bigrams(table: DataFrame, shards: int, folder: str) -> DataFrame:
+    """What each chunk asks the context shards (kind 2): its distinct bigrams, and the documents of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, body in zip(b.column("chunk").to_pylist(), b.column("body").to_pylist(), strict=True):
+                x, words = unpack(body), _words_of(folder, chunk)
+                count, token, per_doc = words["count"], x["token"].astype(np.int32), x["counts"].astype(np.int64)
+                held, n = x["held"], len(words["number"]) + 1
+                del x
                 number = np.append(words["number"], 0)  # the start is number 0
-                before = np.empty(len(token), np.int64)
-                before[1:] = token[:-1]
-                before[first] = len(count)
                 shard_of = (mix(number.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
-                rank = np.empty(len(number), np.int64)  # contexts by shard, then number
-                rank[np.lexsort((number, shard_of))] = np.arange(len(number))
-                by_rank = np.argsort(rank)
-                order = np.argsort(rank[before] * len(number) + token, kind="stable")
-                key = (rank[before] * len(number) + token)[order]
+                by_rank = np.lexsort((number, shard_of))  # contexts by shard, then number
+                rank = np.empty(n, np.int64)
+                rank[by_rank] = np.arange(n)
+                first = np.cumsum(per_doc) - per_doc
+                before = np.empty(len(token), np.int32)
+                before[1:] = token[:-1]
+                before[first] = n - 1
+                key = rank[before] * n + token
+                del before, token
+                order = np.argsort(key, kind="stable")
+                key = key[order]
+                doc = np.repeat(np.arange(len(per_doc), dtype=np.int32), per_doc)[order]
+                del order
                 heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-                occ = np.diff(np.append(heads, len(key)))
-                train = np.add.reduceat((x["held"][doc[order]] == 0).astype(np.int64), heads)
-                u, w = by_rank[key[heads] // len(number)], key[heads] % len(number)
-                doc = doc[order]
-                s = shard_of[u]
-                cut = np.searchsorted(s, np.arange(shards + 1))
+                train = np.add.reduceat((held[doc] == 0).astype(np.int64), heads)
                 at = np.append(heads, len(key))
+                u, w = by_rank[key[heads] // n], key[heads] % n
+                del key
+                cut = np.searchsorted(shard_of[u], np.arange(shards + 1))
                 for k, (a, z) in enumerate(zip(cut, cut[1:], strict=False)):
                     if z > a:
-                        new = np.append(True, u[a + 1 : z] != u[a : z - 1])
-                        runs = np.flatnonzero(new)
-                        yield _rows([(k, chunk, 2, pack(u=number[u[a:z][runs]], many=np.diff(np.append(runs, z - a)), w=number[w[a:z]], cw=count[w[a:z]], train=train[a:z], occ=occ[a:z], doc=doc[at[a] : at[z]], docs=np.array([len(per_doc)])))])
+                        runs = np.flatnonzero(np.append(True, u[a + 1 : z] != u[a : z - 1]))
+                        yield _rows([(k, chunk, 2, pack(u=number[u[a:z][runs]], many=np.diff(np.append(runs, z - a)), w=number[w[a:z]], cw=count[w[a:z]], train=train[a:z], occ=np.diff(at[a : z + 1]), doc=doc[at[a] : at[z]], docs=np.array([len(per_doc)])))])
 
-    return table.mapInArrow(run, ROW)
+    return table.mapInArrow(thrifty(run), ROW)
 
 
 def _ranked(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -252,7 +268,7 @@ def context_parts(t: pa.Table, words: Unigrams) -> pa.Table:
         off = np.repeat(back[part], occ)
         using, which = np.unique(np.repeat(context[part], occ)[off], return_inverse=True)
         more = {f"n{k}": small[k - 1, using] for k in range(1, K + 1)}
-        rows.append((shard, c, 4, pack(some=some, fixed=fixed[some], **by_r, back_doc=doc[off], back=which, total=total[using], divisor=divisor[using], lower=lower[using], **more)))
+        rows.append((shard, c, 4, pack(some=some, fixed=np.rint(-fixed[some] / UNIT).astype(np.int64), **by_r, back_doc=doc[off], back=which, total=total[using], divisor=divisor[using], lower=lower[using], **more)))
     rows.append((shard, -1, 5, pack(n=np.bincount(np.minimum(seen, K + 2), minlength=K + 3))))
     return pa.Table.from_batches([_rows(rows)])
 
@@ -275,7 +291,7 @@ def add_up(t: pa.Table, words: Unigrams, d: np.ndarray) -> pa.Table:
         if k != 4:
             continue
         x = unpack(b)
-        add = x["fixed"].copy()
+        add = -UNIT * x["fixed"].astype(np.float64)
         for r in range(1, K + 1):
             add += x[f"r{r}"] * log_d[r]
         score[x["some"].astype(np.int64)] += add
@@ -304,11 +320,11 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     table = chunks(docs, id_col, text_col)
     _, words = word_counts(table, shards, folder)
     asked = bigrams(table, shards, folder)
-    parts = asked.where("kind = 2").groupBy("shard").applyInArrow(lambda t: context_parts(t, words), ROW)
+    parts = asked.groupBy("shard").applyInArrow(thrifty(lambda t: context_parts(t, words)), ROW)
     parts = materialize(parts, "lm-parts")
     n = np.zeros(K + 3, np.int64)
     for row in parts.where("kind = 5").select("body").toLocalIterator():  # one row a shard
         n += unpack(row["body"])["n"].astype(np.int64)
     d = discounts(n)
-    whole = parts.where("kind = 4").unionByName(asked.where("kind = 3"))
-    return whole.groupBy("chunk").applyInArrow(lambda t: add_up(t, words, d), SCHEMA)
+    whole = parts.where("kind = 4").unionByName(documents(table, folder))
+    return whole.groupBy("chunk").applyInArrow(thrifty(lambda t: add_up(t, words, d)), SCHEMA)
