@@ -29,10 +29,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import pick, text_slices
+from .common import pick, text_slices, thrifty
 
 MAX_STATES = 400_000
-MAX_CACHE = 150_000
+MAX_CACHE = 100_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -277,7 +277,7 @@ def decoded(ids: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: st
             texts = ["".join(t for _, t in dec.stream(np.frombuffer(x or b"", "<u4").astype(np.int64))) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return pick(ids, id=id_col, ids=ids_col).mapInArrow(run, "doc_id long, text string")
+    return pick(ids, id=id_col, ids=ids_col).mapInArrow(thrifty(run), "doc_id long, text string")
 
 
 def _ids(joined: str) -> np.ndarray:
@@ -311,4 +311,4 @@ def _each(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col:
             got = [row(t or "", enc, dec) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.int64()), *(pa.array([g[i] for g in got], t) for i, t in enumerate(types))], names)
 
-    return pick(docs, id=id_col, text=text_col).mapInArrow(run, schema)
+    return pick(docs, id=id_col, text=text_col).mapInArrow(thrifty(run), schema)

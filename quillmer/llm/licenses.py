@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Words, buffers, mix, pick, text_slices
+from .common import Words, buffers, mix, pick, text_slices, thrifty
 from .license_texts import TEMPLATES
 
 GRAM = 3
@@ -191,4 +191,4 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "
                 kinds = [pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return pick(docs, id=id_col, text=text_col).mapInArrow(run, SCHEMA)
+    return pick(docs, id=id_col, text=text_col).mapInArrow(thrifty(run), SCHEMA)

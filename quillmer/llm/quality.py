@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, buffers, mix, pick, prefix_hashes, span_hashes, sums, text_slices
+from .common import Words, buffers, mix, pick, prefix_hashes, span_hashes, sums, text_slices, thrifty
 
 BUCKET_BITS = 16
 #: Mean log ratio (nats per n-gram) below which a document is rejected.
@@ -117,7 +117,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
         some = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[0][some]), pa.array(total[1][some])], ["bucket", "raw", "target"])
 
-    counted = rows.mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    counted = rows.mapInArrow(thrifty(count), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     total = np.zeros((2, 1 << BUCKET_BITS))
     total[0, counted["bucket"]], total[1, counted["bucket"]] = counted["raw"], counted["target"]
     p = (total + 1) / (total.sum(axis=1, keepdims=True) + (1 << BUCKET_BITS))
@@ -133,7 +133,7 @@ def judge(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.int64()), *measure(b.column("text"), table.value, threshold)], names)
 
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    return pick(docs, id=id_col, text=text_col).mapInArrow(score, SCHEMA)
+    return pick(docs, id=id_col, text=text_col).mapInArrow(thrifty(score), SCHEMA)
 
 
 def measure(texts: pa.Array, ratios: np.ndarray, threshold: float) -> list[pa.Array]:
@@ -156,4 +156,4 @@ def keep_good(docs: DataFrame, ratios: np.ndarray, text_col: str = "text", thres
         for b in text_slices(batches, text_col):
             yield b.filter(measure(b.column(text_col), table.value, threshold)[6])
 
-    return docs.mapInArrow(keep, schema)
+    return docs.mapInArrow(thrifty(keep), schema)

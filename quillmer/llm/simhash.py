@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, Words, buffers, connected_components, materialize, mix, pick, signed, text_slices
+from .common import Forest, Words, buffers, connected_components, materialize, mix, pick, signed, text_slices, thrifty
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -143,7 +143,7 @@ def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for b in text_slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.int64()), pa.array(signed(fingerprints(b.column("text"), width)))], ["doc_id", "fp"])
 
-    return pick(docs, id=id_col, text=text_col).where("id is not null").mapInArrow(run, "doc_id long, fp long")
+    return pick(docs, id=id_col, text=text_col).where("id is not null").mapInArrow(thrifty(run), "doc_id long, fp long")
 
 
 def plan_blocks(n: int, max_bits: int = MAX_BITS) -> tuple[list[tuple[int, int]], int]:
@@ -244,7 +244,7 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         left, right = bucket_forest(fp.view(np.uint64), key, np.where(i == j, 2, own == j).astype(np.int8), max_bits)
         yield pa.RecordBatch.from_arrays([pa.array(signed(left)), pa.array(signed(right))], ["a", "b"])
 
-    return dealt.repartition("c", "k", "i", "j").mapInArrow(search, "a long, b long")
+    return dealt.repartition("c", "k", "i", "j").mapInArrow(thrifty(search), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, mix, pack, pick, prefix_hashes, span_hashes, text_slices, unpack
+from .common import buffers, mix, pack, pick, prefix_hashes, span_hashes, text_slices, thrifty, unpack
 
 LENGTH = 100
 GRAM = 16
@@ -41,7 +41,7 @@ FLUSH_BYTES = 16 << 20
 #: Piece bytes that a shard is planned for, and piece bytes for each byte of text.
 SHARD_BYTES = 8 << 20
 #: Piece bytes of one suffix array; more only where one name has more.
-PART_BYTES = 3 << 20
+PART_BYTES = 1_900_000
 SPREAD = 3.4
 LAST = (1 << 63) - 1
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -355,6 +355,18 @@ class Outbox:
             yield pa.RecordBatch.from_arrays([pa.array([int(shard[a])], pa.int32()), pa.array([body], pa.binary())], ["shard", "body"])
 
 
+def piece_hashes(content: np.ndarray, lens: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """Hashes of the pieces that make up ``content`` one after another, some at a time."""
+    ends, out, a = np.cumsum(lens), [np.zeros(0, np.uint64)], 0
+    while a < len(lens):
+        at = int(ends[a] - lens[a])
+        z = max(a + 1, int(np.searchsorted(ends, at + block, side="right")))
+        stop = ends[a:z] - at
+        out.append(span_hashes(prefix_hashes(content[at : int(ends[z - 1])]), stop - lens[a:z], stop))
+        a = z
+    return np.concatenate(out)
+
+
 def shard_repeats(bodies: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc, start, end) of what goes by the pieces of one shard."""
     got = [unpack(b) for b in bodies]
@@ -364,7 +376,7 @@ def shard_repeats(bodies: list[bytes], length: int = LENGTH) -> tuple[np.ndarray
     name, doc, pos, lens, rdoc, rpos, rlens = (np.concatenate([g.pop(k).astype(np.int64) for g in got]) for k in ("name", "doc", "pos", "lens", "rdoc", "rpos", "rlens"))
     content = np.concatenate([g.pop("content") for g in got])
     begin = np.cumsum(lens) - lens
-    h = span_hashes(prefix_hashes(content), begin, begin + lens)
+    h = piece_hashes(content, lens)
     order = np.lexsort((pos, doc, h, name))
     name, doc, pos, lens, begin, h = (x[order] for x in (name, doc, pos, lens, begin, h))
     fresh = np.append(True, (h[1:] != h[:-1]) | (name[1:] != name[:-1])) if len(h) else np.zeros(0, bool)
@@ -406,7 +418,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         doc, start, end = shard_repeats(t.column("body").to_pylist(), length)
         return pa.table({"doc": doc, "start": start, "end": end})
 
-    return rows.mapInArrow(send, "shard int, body binary").groupBy("shard").applyInArrow(work, "doc long, start long, end long")
+    return rows.mapInArrow(thrifty(send), "shard int, body binary").groupBy("shard").applyInArrow(thrifty(work), "doc long, start long, end long")
 
 
 def _merged(ranges: np.ndarray, size: int) -> np.ndarray:
@@ -448,7 +460,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
                 out.append((len(text), len(text) - len(kept), n, hashlib.sha256(kept).hexdigest()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *(pa.array(x) for x in zip(*out, strict=True))], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return _with_ranges(rows, "doc_id", removed(rows, "doc_id", "text", length)).mapInArrow(run, SCHEMA)
+    return _with_ranges(rows, "doc_id", removed(rows, "doc_id", "text", length)).mapInArrow(thrifty(run), SCHEMA)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -461,4 +473,4 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             columns = [pa.array(texts, b.schema.field(text_col).type) if f.name == text_col else b.column(f.name) for f in schema.fields]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return _with_ranges(docs, id_col, removed(docs, id_col, text_col, length)).mapInArrow(run, schema)
+    return _with_ranges(docs, id_col, removed(docs, id_col, text_col, length)).mapInArrow(thrifty(run), schema)

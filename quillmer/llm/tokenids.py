@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buffers, materialize, pick, scratch, text_slices
+from .common import buffers, materialize, pick, scratch, text_slices, thrifty
 from .files import publishing, reading
 
 MAGIC = b"QTOKIDS1"
@@ -190,7 +190,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
             made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(with_end)]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.int64()), pa.array(np.full(n, width, np.int8)), made], ["doc_id", "width", "ids"])
 
-    return pick(docs, id=id_col, text=text_col).mapInArrow(run, "doc_id long, width byte, ids binary")
+    return pick(docs, id=id_col, text=text_col).mapInArrow(thrifty(run), "doc_id long, width byte, ids binary")
 
 
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -215,7 +215,7 @@ def ranking(ids: DataFrame) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "n"])
 
-    counts = ids.select("width", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    counts = ids.select("width", "ids").mapInArrow(thrifty(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     return counts.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy(np.uint32)
 
 
@@ -255,7 +255,7 @@ def write_files(ids: DataFrame, folder: str, partitions: int | None = None) -> D
         yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "n_docs": [n_docs], "n_ids": [n_ids]}, pa.schema([("shard", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     ordered = ids.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
-    return materialize(ordered.mapInArrow(write, "shard long, path string, n_docs long, n_ids long"), "shards")
+    return materialize(ordered.mapInArrow(thrifty(write), "shard long, path string, n_docs long, n_ids long"), "shards")
 
 
 def blocks(path: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -293,7 +293,7 @@ def read_files(shards: DataFrame, with_ids: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
                     start += int(ends[-1]) if len(ends) else 0
 
-    return starts.mapInArrow(read, SCHEMA + (", ids binary" if with_ids else ""))
+    return starts.mapInArrow(thrifty(read), SCHEMA + (", ids binary" if with_ids else ""))
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, attach, connected_components, materialize, pick
+from .common import Forest, attach, connected_components, materialize, pick, thrifty
 
 THRESHOLD = 0.9
 SAMPLE = 20_000
@@ -216,8 +216,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         linked = np.flatnonzero(count)
         return pa.table({"rep": rep[linked], "links": count[linked], "root": rep[trees.roots()[linked]]})
 
-    dealt = nodes.mapInArrow(deal, "d int, i long, j long, second boolean, rep long, n long, v binary")
-    found = materialize(dealt.groupBy("d", "i", "j").applyInArrow(compare, "rep long, links long, root long"), "vector-links")
+    dealt = nodes.mapInArrow(thrifty(deal), "d int, i long, j long, second boolean, rep long, n long, v binary")
+    found = materialize(dealt.groupBy("d", "i", "j").applyInArrow(thrifty(compare), "rep long, links long, root long"), "vector-links")
     component = connected_components(found, "rep", "root").withColumnRenamed("node", "rep")
     links_of = found.groupBy("rep").agg(F.sum("links").alias("links"))
     summary = nodes.select("rep", "n").join(links_of, "rep", "left").join(component, "rep", "left").where("n > 1 or links is not null")

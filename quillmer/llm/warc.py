@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, materialize, pick, scratch
+from .common import attach, materialize, pick, scratch, thrifty
 from .files import publishing, reading
 
 CHUNK = 256 << 10
@@ -100,7 +100,7 @@ def write_archives(chunks: DataFrame, folder: str) -> DataFrame:
                 batch = next(filled, None)
         yield pa.RecordBatch.from_pydict({"path": [path], "records": [records]})
 
-    return materialize(chunks.mapInArrow(write, "path string, records long"), "archives")
+    return materialize(chunks.mapInArrow(thrifty(write), "path string, records long"), "archives")
 
 
 class _Inflating:
@@ -201,7 +201,7 @@ def read_archives(archives: DataFrame, with_data: bool = False) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow)
 
-    return archives.select("path").repartition(parts, "path").mapInArrow(read, schema)
+    return archives.select("path").repartition(parts, "path").mapInArrow(thrifty(read), schema)
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, **columns: str) -> DataFrame:
