@@ -29,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import pick, text_slices, thrifty
+from .common import kept, pick, text_slices, thrifty
 
 MAX_STATES = 400_000
 MAX_CACHE = 100_000
@@ -244,17 +244,14 @@ class Decoder:
             yield b"", last
 
 
-_MADE: dict[tuple, tuple[Encoder, Decoder]] = {}
-
-
 def tools(raw: bytes, pattern: str) -> tuple[Encoder, Decoder]:
     """The coders of a rank file; a worker makes them once."""
-    key = (hashlib.sha1(raw).digest(), pattern)
-    if key not in _MADE:
+
+    def make() -> tuple[Encoder, Decoder]:
         ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in raw.splitlines() if line.strip())}
-        _MADE.clear()
-        _MADE[key] = Encoder(ranks, pattern), Decoder(ranks)
-    return _MADE[key]
+        return Encoder(ranks, pattern), Decoder(ranks)
+
+    return kept(__name__, (hashlib.sha1(raw).digest(), pattern), make)
 
 
 def encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

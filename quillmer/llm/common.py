@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import inspect
 import json
 import os
@@ -60,16 +61,40 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+#: What a worker keeps from task to task, by the module that made it.
+_KEPT: dict[str, tuple] = {}
+
+
+def kept(module: str, key, make):
+    """What ``make`` gave for this key; a module keeps one thing."""
+    have = _KEPT.get(module)
+    if have is None or have[0] != key:
+        _KEPT.pop(module, None)
+        have = _KEPT[module] = (key, make())
+    return have[1]
+
+
 def thrifty(run):
-    """``run`` over batches, or a table, with :func:`trim` at its end."""
+    """``run`` over batches, or a table: first drops what other modules keep, and calls :func:`trim` at its end."""
+    module = run.__module__
+
+    def make_room() -> None:
+        others = [m for m in _KEPT if m != module]
+        for m in others:
+            del _KEPT[m]
+        if others:
+            gc.collect()
+            trim()
 
     def over_batches(batches):
+        make_room()
         try:
             yield from run(batches)
         finally:
             trim()
 
     def over_table(table: pa.Table) -> pa.Table:
+        make_room()
         out = run(table)
         trim()
         return out

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buffers, materialize, pick, scratch, text_slices, thrifty
+from .common import buffers, kept, materialize, pick, scratch, text_slices, thrifty
 from .files import publishing, reading
 
 MAGIC = b"QTOKIDS1"
@@ -167,20 +167,13 @@ class WordTokenizer:
         return ids, bounds[offsets - offsets[0]]
 
 
-_MADE: dict[int, WordTokenizer] = {}
-
-
 def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
     """(doc_id, width, ids): the ids of each text and the end id, little-endian in ``width`` bytes each."""
     with open(tokenizer_path, "rb") as f:
         raw = docs.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = zlib.crc32(raw.value)
-        if key not in _MADE:
-            _MADE.clear()
-            _MADE[key] = WordTokenizer(raw.value)
-        tool = _MADE[key]
+        tool = kept(__name__, zlib.crc32(raw.value), lambda: WordTokenizer(raw.value))
         width = tool.dtype.itemsize
         for b in text_slices(batches, "text", 24 << 20):
             ids, bounds = tool.encode(b.column("text"))
