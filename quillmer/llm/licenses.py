@@ -14,7 +14,7 @@ matches stays, then that of higher coverage, then the earlier, then the first by
 
 Defined results: a null or empty text has no occurrence, nor has a template without ``GRAM`` terms; rows with a null
 id or repeated rows are scanned like others; an empty table gives an empty result; other columns are ignored.  Texts
-are scanned whole, in passes of about 2 MB or one text.
+are scanned whole, in passes of about 1 MB or one text.
 """
 
 from __future__ import annotations

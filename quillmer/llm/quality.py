@@ -7,7 +7,7 @@ documents, one over all documents.  A document's score is the mean, over its own
 Defined results: a null text counts as empty; an empty text has zero words and fails the base rules; a null id
 is scored like any other (it is never trusted); repeated rows are scored each; an empty table gives an empty
 result; without trusted documents the target is the smoothing's uniform distribution and the same threshold holds;
-other columns are ignored unless named in ``carry``.  Texts are read whole, in passes of about 2 MB or one text.
+other columns are ignored unless named in ``carry``.  Texts are read whole, in passes of about 1 MB or one text.
 """
 
 from __future__ import annotations

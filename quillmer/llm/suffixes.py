@@ -407,7 +407,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         box = Outbox(shards, length)
-        for b in text_slices(batches, "text"):
+        for b in text_slices(batches, "text", 1 << 19):
             raw, offsets = buffers(b.column("text"))
             box.add(raw, offsets, b.column("id").cast(pa.int64()).fill_null(LAST).to_numpy())
             if box.size >= FLUSH_BYTES:
