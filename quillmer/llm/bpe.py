@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 
 from .common import kept, pick, text_slices, thrifty
 
-MAX_STATES = 400_000
-MAX_CACHE = 100_000
+MAX_STATES = 300_000
+MAX_CACHE = 80_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -79,7 +79,7 @@ class Transducer:
         key = left << 32 | right if left >= 0 else -1 - right
         known = self.fits_memo.get(key)
         if known is None:
-            if len(self.fits_memo) > 4 * MAX_STATES:
+            if len(self.fits_memo) > MAX_STATES:
                 self.fits_memo.clear()
             if left < 0:
                 known = self.merge(self.token[right]) == [right]
@@ -161,6 +161,13 @@ class Encoder:
         self.by_piece = Recent(self._piece)
         self.by_word = Recent(self._word)
 
+    def forget(self) -> None:
+        """Drop what was met in texts; which tokens fit behind each other stays."""
+        self.machine.reset()
+        for memo in (self.by_piece, self.by_word):
+            memo.clear()
+            memo.old = {}
+
     def _piece(self, piece: str) -> str:
         return ",".join(map(str, self.machine.encode(piece.encode())))
 
@@ -304,8 +311,11 @@ def _each(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         enc, dec = tools(raw.value, pattern)
-        for b in text_slices(batches, "text"):
-            got = [row(t or "", enc, dec) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.int64()), *(pa.array([g[i] for g in got], t) for i, t in enumerate(types))], names)
+        try:
+            for b in text_slices(batches, "text"):
+                got = [row(t or "", enc, dec) for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.int64()), *(pa.array([g[i] for g in got], t) for i, t in enumerate(types))], names)
+        finally:
+            enc.forget()  # an idle worker would hold it through the next stages
 
     return pick(docs, id=id_col, text=text_col).mapInArrow(thrifty(run), schema)

@@ -111,6 +111,14 @@ def pick(df: DataFrame, **cols: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`").alias(k) for k, c in cols.items()))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``limit`` bytes of ``column`` at most, or one row."""
     for batch in batches:

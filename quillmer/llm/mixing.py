@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize
+from .common import BROADCAST_ROWS, free_name, materialize
 
 SEED = 17
 #: Weights are in proportion to size ** (1 / TEMPERATURE) unless given.
@@ -57,20 +57,22 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, sourc
 
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """``docs`` with each row as often as its source's rate says, in global random order; adds rate, replica, shuffle_key."""
-    table = materialize(rates(docs, weights, source_col, text_col), "rates").select(F.col("source").alias("_source"), "rate", F.col("parts").alias("_parts"), F.col("cdf").alias("_cdf"))
+    docs = docs.drop("rate", "replica", "shuffle_key")
+    of, parts_, cdf, n = (free_name(docs, x) for x in ("source_of_rate", "poissons", "distribution", "copies"))
+    table = materialize(rates(docs, weights, source_col, text_col), "rates").select(F.col("source").alias(of), "rate", F.col("parts").alias(parts_), F.col("cdf").alias(cdf))
     if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         table = F.broadcast(table)
-    rows = docs.drop("rate", "replica", "shuffle_key").join(table, F.col(f"`{source_col}`").eqNullSafe(F.col("_source")))
+    rows = docs.join(table, F.col(f"`{source_col}`").eqNullSafe(F.col(of)))
     name = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))
     number = F.aggregate(
-        F.sequence(F.lit(0), F.col("_parts") - 1),
+        F.sequence(F.lit(0), F.col(parts_) - 1),
         F.lit(0),
-        lambda acc, j: acc + F.size(F.filter("_cdf", lambda c: c <= uniform(F.lit(seed), name, j.cast("string")))),
+        lambda acc, j: acc + F.size(F.filter(cdf, lambda c: c <= uniform(F.lit(seed), name, j.cast("string")))),
     )
-    rows = rows.withColumn("_number", number)
-    copies = rows.withColumn("replica", F.explode(F.when(F.col("_number") > 0, F.sequence(F.lit(0), F.col("_number") - 1))))
+    rows = rows.withColumn(n, number)
+    copies = rows.withColumn("replica", F.explode(F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1))))
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"order{seed}"), name, F.col("replica"))), 1, 15), 16, 10).cast("long")
-    copies = copies.withColumn("shuffle_key", key).drop("_source", "_parts", "_cdf", "_number")
+    copies = copies.withColumn("shuffle_key", key).drop(of, parts_, cdf, n)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return copies.repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key", F.col(f"`{id_col}`"), "replica")
 

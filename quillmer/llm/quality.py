@@ -63,7 +63,7 @@ def base_counts(words: Words, h: np.ndarray) -> dict[str, np.ndarray]:
     # lines: between line feeds and the texts' ends
     cut = np.flatnonzero(raw == 10)
     starts = np.concatenate([offsets[:-1], cut + 1])
-    order = np.lexsort((np.arange(len(starts)) >= n, starts))  # an empty text starts where the next one does
+    order = np.lexsort((np.arange(len(starts)) < n, starts))  # an empty last line stands where the next text starts, and before it
     starts = np.sort(starts)
     line_text = np.concatenate([np.arange(n), np.searchsorted(offsets, cut, side="right") - 1])[order]
     ends = np.minimum(np.append(starts[1:], len(raw)), offsets[1:][line_text])

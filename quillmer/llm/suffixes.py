@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, mix, pack, pick, prefix_hashes, span_hashes, text_slices, thrifty, unpack
+from .common import buffers, free_name, mix, pack, pick, prefix_hashes, span_hashes, text_slices, thrifty, unpack
 
 LENGTH = 100
 GRAM = 16
@@ -329,6 +329,8 @@ class Outbox:
         raw = np.concatenate(self.raw)
         doc, start, pos, windows, name, h = (np.concatenate(x) for x in (self.doc, self.start, self.pos, self.windows, self.name, self.hash))
         self.clear()
+        if not len(doc):
+            return
         shard = ((name >> np.uint64(32)) % np.uint64(self.shards)).astype(np.int64)
         order = np.lexsort((pos, doc, h, name, shard))
         shard, doc, start, pos, windows, name, h = (x[order] for x in (shard, doc, start, pos, windows, name, h))
@@ -441,36 +443,40 @@ def _kept(text: bytes, flat: list | None) -> tuple[bytes, int]:
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)), len(gone)
 
 
-def _with_ranges(docs: DataFrame, id_col: str, ranges: DataFrame) -> DataFrame:
-    by_doc = ranges.groupBy("doc").agg(F.flatten(F.collect_list(F.array("start", "end"))).alias("_gone"))
+def _with_ranges(docs: DataFrame, id_col: str, ranges: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` and, in a column of the name returned, the ranges of each."""
+    doc, gone = free_name(docs, "doc_"), free_name(docs, "gone")
+    by_doc = ranges.groupBy(F.col("doc").alias(doc)).agg(F.flatten(F.collect_list(F.array("start", "end"))).alias(gone))
     key: Column = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST))
-    return docs.drop("_gone", "_doc").withColumn("_doc", key).join(by_doc.withColumnRenamed("doc", "_doc"), "_doc", "left").drop("_doc")
+    return docs.withColumn(doc, key).join(by_doc, doc, "left").select(*(f"`{c}`" for c in docs.columns), gone), gone
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     rows = pick(docs, doc_id=id_col, text=text_col)
+    ranged, name = _with_ranges(rows, "doc_id", removed(rows, "doc_id", "text", length))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, "text"):
             out = []
-            for text, gone in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("_gone").to_pylist(), strict=True):
+            for text, gone in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column(name).to_pylist(), strict=True):
                 text = text or b""
                 kept, n = _kept(text, gone)
                 out.append((len(text), len(text) - len(kept), n, hashlib.sha256(kept).hexdigest()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *(pa.array(x) for x in zip(*out, strict=True))], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return _with_ranges(rows, "doc_id", removed(rows, "doc_id", "text", length)).mapInArrow(thrifty(run), SCHEMA)
+    return ranged.mapInArrow(thrifty(run), SCHEMA)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """``docs`` with repeated bytes cut out of the text; what a cut leaves of a character goes too."""
     schema = docs.schema
+    ranged, name = _with_ranges(docs, id_col, removed(docs, id_col, text_col, length))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, text_col):
-            texts = [None if t is None else _kept(t, g)[0].decode("utf-8", "ignore") for t, g in zip(b.column(text_col).cast(pa.binary()).to_pylist(), b.column("_gone").to_pylist(), strict=True)]
+            texts = [None if t is None else _kept(t, g)[0].decode("utf-8", "ignore") for t, g in zip(b.column(text_col).cast(pa.binary()).to_pylist(), b.column(name).to_pylist(), strict=True)]
             columns = [pa.array(texts, b.schema.field(text_col).type) if f.name == text_col else b.column(f.name) for f in schema.fields]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return _with_ranges(docs, id_col, removed(docs, id_col, text_col, length)).mapInArrow(thrifty(run), schema)
+    return ranged.mapInArrow(thrifty(run), schema)
