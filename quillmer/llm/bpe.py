@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import marshal
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,8 +32,8 @@ from pyspark.sql import DataFrame
 
 from .common import kept, pick, text_slices, thrifty
 
-MAX_STATES = 300_000
-MAX_CACHE = 80_000
+MAX_STATES = 400_000
+MAX_CACHE = 120_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -158,16 +159,30 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.machine = Transducer(ranks)
         self.pieces = regex.compile(pattern).findall
+        self.folded = b""
         self.by_piece = Recent(self._piece)
         self.by_word = Recent(self._word)
 
-    def forget(self) -> None:
-        """Drop what was met in texts; which tokens fit behind each other stays."""
-        self.machine.reset()
+    def rest(self) -> None:
+        """Fold all that was learnt into one block of bytes: between tasks a worker then holds little."""
+        m = self.machine
+        self.folded = marshal.dumps((m.states, m.step, m.fits_memo, [(dict(x), x.old) for x in (self.by_piece, self.by_word)]))
+        m.fits_memo = {}
+        m.reset()
         for memo in (self.by_piece, self.by_word):
             memo.clear()
             memo.old = {}
 
+    def wake(self) -> None:
+        if self.folded:
+            m = self.machine
+            m.states, m.step, m.fits_memo, memos = marshal.loads(self.folded)
+            m.number = {state: i for i, state in enumerate(m.states)}
+            for memo, (new, old) in zip((self.by_piece, self.by_word), memos, strict=True):
+                memo.update(new)
+                memo.old = old
+            self.folded = b""
+
     def _piece(self, piece: str) -> str:
         return ",".join(map(str, self.machine.encode(piece.encode())))
 
@@ -311,11 +326,12 @@ def _each(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         enc, dec = tools(raw.value, pattern)
+        enc.wake()
         try:
             for b in text_slices(batches, "text"):
                 got = [row(t or "", enc, dec) for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.int64()), *(pa.array([g[i] for g in got], t) for i, t in enumerate(types))], names)
         finally:
-            enc.forget()  # an idle worker would hold it through the next stages
+            enc.rest()
 
     return pick(docs, id=id_col, text=text_col).mapInArrow(thrifty(run), schema)
