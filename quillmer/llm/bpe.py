@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from .common import kept, pick, text_slices, thrifty
 
 MAX_STATES = 400_000
-MAX_CACHE = 120_000
+MAX_CACHE = 90_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -47,7 +47,7 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
-        self.prefixes = {token[:n] for token in ranks for n in range(1, len(token) + 1)}
+        self.prefixes = {token[:n]: token[:n] for token in ranks for n in range(1, len(token) + 1)}
         self.fits_memo: dict[int, bool] = {}
         self.reset()
 
@@ -56,6 +56,7 @@ class Transducer:
         self.states: list[tuple] = []
         self.number: dict[tuple, int] = {}
         self.step: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.same: dict[tuple, tuple] = {}  # equal parts of states are one object
         self.start = self.intern((b"", -1, ((),)))
 
     def intern(self, state: tuple) -> int:
@@ -116,6 +117,9 @@ class Transducer:
         if common:
             sent = out[-1]
             held = [chain if chain is None else chain[common:] for chain in held]
+        same = self.same.setdefault
+        held = [chain if chain is None else same(chain, chain) for chain in held]
+        live, out = self.prefixes.get(live, live), same(out, out)
         if () not in held:
             sent = -2  # each kept encoding has a token of its own at its end, so the one before doesn't matter
         done = self.step[state << 8 | byte] = (self.intern((live, sent, tuple(held))), out)
@@ -159,29 +163,32 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.machine = Transducer(ranks)
         self.pieces = regex.compile(pattern).findall
-        self.folded = b""
+        self.folded: list[bytes] = []
         self.by_piece = Recent(self._piece)
         self.by_word = Recent(self._word)
 
     def rest(self) -> None:
-        """Fold all that was learnt into one block of bytes: between tasks a worker then holds little."""
+        """Fold all that was learnt into blocks of bytes, one table after another: between tasks a worker then holds little."""
         m = self.machine
-        self.folded = marshal.dumps((m.states, m.step, m.fits_memo, [(dict(x), x.old) for x in (self.by_piece, self.by_word)]))
-        m.fits_memo = {}
-        m.reset()
         for memo in (self.by_piece, self.by_word):
+            self.folded.append(marshal.dumps((dict(memo), memo.old)))
             memo.clear()
             memo.old = {}
+        self.folded.append(marshal.dumps(m.fits_memo))
+        m.fits_memo = {}
+        m.number, m.same = {}, {}
+        self.folded.append(marshal.dumps((m.states, m.step)))
+        m.reset()
 
     def wake(self) -> None:
         if self.folded:
             m = self.machine
-            m.states, m.step, m.fits_memo, memos = marshal.loads(self.folded)
+            m.states, m.step = marshal.loads(self.folded.pop())
             m.number = {state: i for i, state in enumerate(m.states)}
-            for memo, (new, old) in zip((self.by_piece, self.by_word), memos, strict=True):
+            m.fits_memo = marshal.loads(self.folded.pop())
+            for memo in (self.by_word, self.by_piece):
+                new, memo.old = marshal.loads(self.folded.pop())
                 memo.update(new)
-                memo.old = old
-            self.folded = b""
 
     def _piece(self, piece: str) -> str:
         return ",".join(map(str, self.machine.encode(piece.encode())))

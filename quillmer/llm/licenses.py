@@ -152,9 +152,10 @@ def occurrences(template: list[int], text: list[int], diagonals: np.ndarray, cov
 
 def settled(found: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
     """Of (first, last, matches, terms, template) those that no better one overlaps, by position."""
-    kept: list[tuple[int, int, int, int, int]] = []
+    kept, taken = [], bytearray(max((x[1] + 1 for x in found), default=0))
     for x in sorted(set(found), key=lambda x: (-x[2], -x[2] / x[3], x[0], x[4])):
-        if all(x[1] < y[0] or x[0] > y[1] for y in kept):
+        if not any(taken[x[0] : x[1] + 1]):
+            taken[x[0] : x[1] + 1] = b"\1" * (x[1] + 1 - x[0])
             kept.append(x)
     return sorted(kept)
 
