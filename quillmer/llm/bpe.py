@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame
 
 from .common import kept, pick, text_slices, thrifty
 
-MAX_STATES = 400_000
+MAX_STATES = 300_000
+MAX_FITS = 400_000
 MAX_CACHE = 90_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -81,7 +82,7 @@ class Transducer:
         key = left << 32 | right if left >= 0 else -1 - right
         known = self.fits_memo.get(key)
         if known is None:
-            if len(self.fits_memo) > MAX_STATES:
+            if len(self.fits_memo) > MAX_FITS:
                 self.fits_memo.clear()
             if left < 0:
                 known = self.merge(self.token[right]) == [right]
