@@ -19,7 +19,7 @@ from quillmer.llm.queries import table, tokenizer
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
     labels = table(spark, sf_dir, "labels")
-    return quality.keep_good(docs, quality.log_ratios(docs, labels.where("quality = 1").select("doc_id")))
+    return quality.keep_good(docs, quality.shrunk_ratios(docs, labels.where("quality = 1").select("doc_id")))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

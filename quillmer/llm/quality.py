@@ -1,13 +1,19 @@
 """Quality rules: hashed n-gram log-likelihood ratio of a trusted target against the raw corpus.
 
-Two multinomials over ``2**BUCKET_BITS`` hashed word unigrams and bigrams are counted: one over the trusted
-documents, one over all documents.  A document's score is the mean, over its own n-grams, of
-``log p_target - log p_raw``; it is kept when it passes the base rules and its score is at least ``threshold``.
+Hashed word unigrams and bigrams are counted twice: over the trusted documents and over all documents.  A document's
+score is the mean, over its own n-grams, of an estimate of ``log p_target - log p_raw``; it is kept when it passes the
+base rules and its score is at least ``threshold``.
+
+:func:`shrunk_ratios`, which the query and the pipeline use, takes ``2**MODEL_BITS`` buckets and draws each bucket's
+target count towards the count that its share of the corpus would give, by ``PRIOR`` n-grams: a bucket seen once or
+twice says little in a table of any size, and without evidence the ratio is 0.  The target is bounded by
+``max_trusted`` documents, so it doesn't fill the buckets as the corpus grows.  :func:`log_ratios` is the same with
+``2**BUCKET_BITS`` buckets smoothed by one towards the uniform distribution; its verdicts depend on the table's size.
 
 Defined results: a null text counts as empty; an empty text has zero words and fails the base rules; a null id
 is scored like any other (it is never trusted); repeated rows are scored each; an empty table gives an empty
-result; without trusted documents the target is the smoothing's uniform distribution and the same threshold holds;
-other columns are ignored unless named in ``carry``.  Texts are read whole, in passes of about 1 MB or one text.
+result; without trusted documents every shrunk ratio is 0, so the base rules alone decide (``log_ratios``: the
+target is the smoothing's uniform distribution and the same threshold holds); other columns are ignored unless named in ``carry``.  Texts are read whole, in passes of about 1 MB or one text.
 """
 
 from __future__ import annotations
@@ -22,6 +28,9 @@ from pyspark.sql import functions as F
 from .common import Words, buffers, mix, pick, prefix_hashes, span_hashes, sums, text_slices, thrifty
 
 BUCKET_BITS = 16
+MODEL_BITS = 20
+#: N-grams of the corpus's own distribution that a bucket's target count is drawn by.
+PRIOR = 2.0
 #: Mean log ratio (nats per n-gram) below which a document is rejected.
 THRESHOLD = -0.25
 #: Bound on the labelled rows that the target is counted from; beyond it those of smallest hash are used.
@@ -37,10 +46,10 @@ _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double"
 
 
-def features(words: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def features(words: Words, h: np.ndarray, bits: int = BUCKET_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of each unigram and bigram, and the text each belongs to."""
     text = words.text_of_word()
-    shift = np.uint64(64 - BUCKET_BITS)
+    shift = np.uint64(64 - bits)
     if len(h) < 2:
         return (h >> shift).astype(np.int64), text
     inside = text[1:] == text[:-1]
@@ -97,29 +106,43 @@ def base_counts(words: Words, h: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_trusted: int = MAX_TRUSTED) -> np.ndarray:
-    """``log p_target - log p_raw`` of each bucket, add-one smoothed.  ``trusted``: its first column names documents.
+def counts(docs: DataFrame, trusted: DataFrame, bits: int, id_col: str = "doc_id", text_col: str = "text", max_trusted: int = MAX_TRUSTED) -> np.ndarray:
+    """N-grams of each bucket in all and in the trusted documents.  ``trusted``: its first column names documents.
 
-    Every task adds up its own buckets before the shuffle; the driver gets 2**BUCKET_BITS rows whatever the input.
+    Every task adds up its own buckets before the shuffle; the driver gets 2**bits rows at most whatever the input.
     """
     ids = trusted.select(F.col(f"`{trusted.columns[0]}`").alias("id")).where("id is not null").distinct()
     ids = ids.orderBy(F.xxhash64("id"), "id").limit(max_trusted).withColumn("target", F.lit(True))
     rows = pick(docs, id=id_col, text=text_col).join(F.broadcast(ids), "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 1 << BUCKET_BITS), np.int64)
+        total = np.zeros((2, 1 << bits), np.int64)
         for b in text_slices(batches, "text"):
             words = Words(*buffers(b.column("text")))
-            bucket, text = features(words, words.hashes())
+            bucket, text = features(words, words.hashes(), bits)
             target = b.column("target").to_numpy(zero_copy_only=False)
-            total[0] += np.bincount(bucket, minlength=1 << BUCKET_BITS)
-            total[1] += np.bincount(bucket[target[text]], minlength=1 << BUCKET_BITS)
+            total[0] += np.bincount(bucket, minlength=1 << bits)
+            total[1] += np.bincount(bucket[target[text]], minlength=1 << bits)
         some = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[0][some]), pa.array(total[1][some])], ["bucket", "raw", "target"])
 
-    counted = rows.mapInArrow(thrifty(count), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
-    total = np.zeros((2, 1 << BUCKET_BITS))
-    total[0, counted["bucket"]], total[1, counted["bucket"]] = counted["raw"], counted["target"]
+    counted = rows.mapInArrow(thrifty(count), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
+    total = np.zeros((2, 1 << bits))
+    bucket = counted["bucket"].to_numpy()
+    total[0, bucket], total[1, bucket] = counted["raw"].to_numpy(), counted["target"].to_numpy()
+    return total
+
+
+def shrunk_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_trusted: int = MAX_TRUSTED) -> np.ndarray:
+    """``log p_target - log p_raw`` of each of 2**MODEL_BITS buckets, shrunk towards 0."""
+    raw, target = counts(docs, trusted, MODEL_BITS, id_col, text_col, max_trusted)
+    expected = raw * (target.sum() / max(raw.sum(), 1))
+    return np.log(target + PRIOR) - np.log(expected + PRIOR)
+
+
+def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_trusted: int = MAX_TRUSTED) -> np.ndarray:
+    """``log p_target - log p_raw`` of each of 2**BUCKET_BITS buckets, add-one smoothed."""
+    total = counts(docs, trusted, BUCKET_BITS, id_col, text_col, max_trusted)
     p = (total + 1) / (total.sum(axis=1, keepdims=True) + (1 << BUCKET_BITS))
     return np.log(p[1]) - np.log(p[0])
 
@@ -140,7 +163,7 @@ def measure(texts: pa.Array, ratios: np.ndarray, threshold: float) -> list[pa.Ar
     words = Words(*buffers(texts))
     h = words.hashes()
     c = base_counts(words, h)
-    bucket, text = features(words, h)
+    bucket, text = features(words, h, len(ratios).bit_length() - 1)
     n = len(words.counts)
     number = np.bincount(text, minlength=n)
     score = np.bincount(text, weights=ratios[bucket], minlength=n) / np.maximum(number, 1)

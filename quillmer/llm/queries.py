@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    ratios = quality.log_ratios(docs, labels.where("quality = 1").select("doc_id"))
+    ratios = quality.shrunk_ratios(docs, labels.where("quality = 1").select("doc_id"))
     return quality.judge(docs, ratios)
 
 
