@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``.
 
 Null ids and repeated rows: the rules judge each row; near-duplicate removal keeps rows with a null id, which no group
-can name, and treats rows of one id as one document; the other stages are as their operators say.  Empty tables pass.
+can name, and removes of a repeated id only the rows whose text is in the group; the other stages are as their operators say.  Empty tables pass.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmer.llm import bpe, mixing, quality, simhash, suffixes
-from quillmer.llm.common import materialize, without
+from quillmer.llm.common import free_name, materialize, without
 from quillmer.llm.queries import table, tokenizer
 
 
@@ -23,10 +23,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of smallest id."""
-    groups = simhash.near_duplicates(docs)
-    gone = materialize(groups.where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
-    return without(docs, gone, "doc_id")
+    """Of each group of near-duplicates the rows of the document of smallest id."""
+    name = free_name(docs, "fingerprint")
+    groups = simhash.near_duplicates(docs).withColumnRenamed("fingerprint", name)
+    gone = materialize(groups.where("doc_id <> component_id").select("doc_id", name), "near-duplicates")
+    return without(simhash.marked(docs, name), gone, ["doc_id", name]).drop(name)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -277,8 +277,8 @@ def attach(rows: DataFrame, table: DataFrame, key: str, salt: str) -> DataFrame:
     return left.join(right, [key, "_salt"], "left").drop("_salt")
 
 
-def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    """``rows`` whose key isn't in ``gone(key)``; rows with a null key stay."""
+def without(rows: DataFrame, gone: DataFrame, key: str | list[str]) -> DataFrame:
+    """``rows`` whose key, of one column or several, isn't in ``gone(key)``; rows with a null key stay."""
     if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
     return rows.join(gone, key, "left_anti").select(*rows.columns)

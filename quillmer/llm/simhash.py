@@ -21,8 +21,9 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import Forest, Words, buffers, connected_components, materialize, mix, pick, signed, text_slices, thrifty
 
@@ -146,6 +147,21 @@ def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return pick(docs, id=id_col, text=text_col).where("id is not null").mapInArrow(thrifty(run), "doc_id long, fp long")
 
 
+def marked(docs: DataFrame, name: str, text_col: str = "text", width: int = SHINGLE) -> DataFrame:
+    """``docs`` with its rows' fingerprints, 16 hex digits, as the last column ``name``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_slices(batches, text_col):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(signed(fingerprints(b.column(text_col), width)))], [*b.schema.names, name])
+
+    schema = StructType([*docs.schema.fields, StructField(name, LongType())])
+    return docs.mapInArrow(thrifty(run), schema).withColumn(name, digits(name))
+
+
+def digits(fp: str) -> Column:
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
 def plan_blocks(n: int, max_bits: int = MAX_BITS) -> tuple[list[tuple[int, int]], int]:
     """Blocks as (shift, width), and how many of them two linked fingerprints share at least; keys are about log2(n) bits wide."""
     for keep in (2, 3, 4):
@@ -257,4 +273,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = materialize(named, "named")
     least = materialize(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     label = materialize(named.join(least, "root").select("fp", "component_id"), "label")
-    return prints.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(label, "fp").select("doc_id", digits("fp").alias("fingerprint"), "component_id")

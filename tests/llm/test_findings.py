@@ -5,6 +5,8 @@ import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import pytest
 
+import corpus_pipeline
+
 from quillmer.llm import queries
 
 DATA = "/root/testdata"
@@ -25,3 +27,13 @@ def test_quality_verdicts_at_every_size(spark, tmp_path, sf):
     print(sf, "held-out good kept", sum(kept_good), len(kept_good), "bad kept", sum(kept_bad), len(kept_bad))
     assert sum(kept_good) >= 0.9 * len(kept_good)
     assert sum(kept_bad) <= max(1, 0.02 * len(kept_bad))
+
+
+def test_pipeline_keeps_the_other_text_of_a_repeated_id(spark):
+    """A text without a copy stays, even if another row of its id is a copy of a smaller id."""
+    copied, alone = " ".join(f"copied{i}" for i in range(60)), " ".join(f"alone{i}" for i in range(60))
+    rows = [(1, copied, "a"), (2, copied, "b"), (2, alone, "c"), (3, None, "d"), (None, copied, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fingerprint string")
+    left = corpus_pipeline.simhash_near_dedup(spark, docs, "")
+    assert left.columns == docs.columns
+    assert sorted(r["fingerprint"] for r in left.collect()) == ["a", "c", "d", "e"]
