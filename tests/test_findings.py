@@ -24,3 +24,13 @@ def test_tax_report_of_a_whole_mixture(spark, sf):
     got = catalog.QUERIES["tax_report_whole"](spark, f"{DATA}/{sf}")
     assert len(expected) > 10
     assert sorted(map(tuple, got.select(*names).collect())) == expected
+
+
+def test_all_hits_of_a_passage(spark, tmp_path):
+    """A passage of twelve documents has twelve hits; the best ten are among them."""
+    passage = " ".join(f"{a}{b}{a}" for a in "QUILMERTS" for b in "ABCDEFGHK")
+    spark.createDataFrame([(i, passage, "s1") for i in range(12)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    every, best = (catalog.QUERIES[q](spark, str(tmp_path)).collect() for q in ("find_hits_all", "find_hits"))
+    assert {r["ref_idx"] for r in every} == set(range(12))
+    assert len(best) == 10 and set(best) <= set(every)
