@@ -35,9 +35,11 @@ LOWER[65:91] += 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset and all run on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = os.path.join(tempfile.gettempdir(), f"quillmer-{os.getuid()}")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -156,33 +158,73 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        _POWERS[base] = have = np.multiply.accumulate(have)
-    return have[:n]
-
-
-def prefix_hashes(raw: np.ndarray) -> np.ndarray:
-    """Running sums from which :func:`span_hashes` gets the hash of any span."""
-    out = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUES[raw] * powers(_BASE, len(raw)), out=out[1:])
-    return out
-
-
-def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans; equal bytes give equal hashes wherever they stand."""
-    return mix((prefix[ends] - prefix[starts]) * powers(_BASE_INV, len(prefix))[starts] + (ends - starts).astype(np.uint64))
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # fixed values of XXH64
+_SEED = np.uint64(42)
+
+
+def _rot(x: np.ndarray, r: int) -> np.ndarray:
+    return (x << np.uint64(r)) | (x >> np.uint64(64 - r))
+
+
+def _round(acc: np.ndarray, lane: np.ndarray) -> np.ndarray:
+    return _rot(acc + lane * _P2, 31) * _P1
+
+
+def xxh64(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """XXH64 (seed 42) of the spans of ``data``, which must have 8 spare bytes at its end."""
+    at8 = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    at4 = np.ndarray((len(data) - 7,), "<u4", data, strides=(1,))
+    with np.errstate(over="ignore"):
+        h = np.full(len(starts), _SEED + _P5, np.uint64)
+        at = starts.copy()
+        big = np.flatnonzero(lens >= 32)
+        if len(big):
+            p, stripes = starts[big], lens[big] // 32
+            v = [np.full(len(big), x, np.uint64) for x in (_SEED + _P1 + _P2, _SEED + _P2, _SEED, _SEED - _P1)]
+            live, k = np.arange(len(big)), 0
+            while len(live):
+                q = p[live] + 32 * k
+                for j in range(4):
+                    v[j][live] = _round(v[j][live], at8[q + 8 * j])
+                k += 1
+                live = live[stripes[live] > k]
+            acc = _rot(v[0], 1) + _rot(v[1], 7) + _rot(v[2], 12) + _rot(v[3], 18)
+            for x in v:
+                acc = (acc ^ _round(np.zeros_like(x), x)) * _P1 + _P4
+            h[big] = acc
+            at[big] += 32 * stripes
+        h += lens.astype(np.uint64)
+        left = (starts + lens) - at
+        for k in range(3):
+            i = np.flatnonzero(left >= 8 * (k + 1))
+            lane = _round(np.zeros(len(i), np.uint64), at8[at[i] + 8 * k])
+            h[i] = _rot(h[i] ^ lane, 27) * _P1 + _P4
+        at += left & ~7
+        left &= 7
+        i = np.flatnonzero(left >= 4)
+        h[i] = _rot(h[i] ^ (at4[at[i]].astype(np.uint64) * _P1), 23) * _P2 + _P3
+        at[i] += 4
+        left &= 3
+        for k in range(3):
+            i = np.flatnonzero(left > k)
+            h[i] = _rot(h[i] ^ (data[at[i] + k].astype(np.uint64) * _P5), 11) * _P1
+        h = (h ^ (h >> np.uint64(33))) * _P2
+        h = (h ^ (h >> np.uint64(29))) * _P3
+        return h ^ (h >> np.uint64(32))
+
+
+def codes(raw: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Numbers of the byte strings that make up ``raw`` one after another, equal for equal bytes only, and the distinct strings."""
+    ends = np.zeros(len(lens) + 1, np.int64)
+    np.cumsum(lens, out=ends[1:])
+    coded = pa.Array.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary
+
+
+def string_hashes(strings: pa.Array) -> np.ndarray:
+    """XXH64 of each of some byte strings."""
+    raw, offsets = buffers(strings)
+    return xxh64(np.concatenate([raw, np.zeros(8, np.uint8)]), offsets[:-1], np.diff(offsets))
 
 
 class Words:
@@ -206,8 +248,14 @@ class Words:
         self.counts = np.diff(self.first)
         self.solid = solid[1:-1]
 
+    def codes(self) -> tuple[np.ndarray, pa.Array]:
+        """The number of each word, equal for equal words only, and the distinct words."""
+        return codes(self.raw[self.solid], self.ends - self.starts)
+
     def hashes(self) -> np.ndarray:
-        return span_hashes(prefix_hashes(self.raw), self.starts, self.ends)
+        """XXH64 of each word."""
+        code, distinct = self.codes()
+        return string_hashes(distinct)[code]
 
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)

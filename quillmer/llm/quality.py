@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, buffers, mix, pick, prefix_hashes, span_hashes, sums, text_slices, thrifty
+from .common import Words, buffers, codes, mix, pick, string_hashes, sums, text_slices, thrifty
 
 BUCKET_BITS = 16
 MODEL_BITS = 20
@@ -64,7 +64,24 @@ def repeated(keys: np.ndarray) -> np.ndarray:
     return np.isin(keys, twice) if len(twice) else np.zeros(len(keys), bool)
 
 
-def base_counts(words: Words, h: np.ndarray) -> dict[str, np.ndarray]:
+def twice(keys: list[np.ndarray]) -> np.ndarray:
+    """Which of the rows that the columns ``keys`` make up occur twice or more."""
+    h = np.zeros(len(keys[0]), np.uint64)
+    for k in keys:
+        h = mix(h + k.astype(np.uint64))
+    at = np.flatnonzero(repeated(h))  # equal rows are among these; rows of one hash that differ are told apart here
+    order = np.lexsort([k[at] for k in keys])
+    same = np.ones(max(len(at) - 1, 0), bool)
+    for k in keys:
+        ordered = k[at][order]
+        same &= ordered[1:] == ordered[:-1]
+    out = np.zeros(len(keys[0]), bool)
+    out[at[order]] = np.append(same, False)[: len(at)] | np.append(False, same)[: len(at)]
+    return out
+
+
+def base_counts(words: Words, code: np.ndarray) -> dict[str, np.ndarray]:
+    """``code``: the words' numbers, of :meth:`Words.codes`."""
     raw, offsets = words.raw, words.offsets
     n = len(words.counts)
     lead = words.solid & ((raw & 0xC0) != 0x80)
@@ -82,18 +99,17 @@ def base_counts(words: Words, h: np.ndarray) -> dict[str, np.ndarray]:
     solid = np.zeros(len(raw) + 1, np.int64)
     np.cumsum(words.solid, out=solid[1:])
     full = solid[ends] > solid[starts]
-    keys = mix(span_hashes(prefix_hashes(raw), starts[full], ends[full]) + mix(line_text[full].astype(np.uint64)))
+    line, _ = codes(raw[raw != 10], ends - starts)  # all lines, one after another
     owner = line_text[full]
+    keys = owner << 32 | line[full]
     dup_lines = np.bincount(owner, minlength=n) - np.bincount(owner[np.unique(keys, return_index=True)[1]], minlength=n)
     # words in windows that the text holds twice
-    covered = np.zeros(len(h), bool)
-    if len(h) >= WINDOW:
-        inside = text[WINDOW - 1 :] == text[: len(text) - WINDOW + 1]
-        w = mix(text[: len(inside)].astype(np.uint64) + np.uint64(1))
-        for j in range(WINDOW):
-            w = mix(w + h[j : j + len(inside)])
-        hit = np.flatnonzero(inside)[repeated(w[inside])]
-        step = np.zeros(len(h) + 1, np.int64)
+    covered = np.zeros(len(code), bool)
+    if len(code) >= WINDOW:
+        n_windows = len(code) - WINDOW + 1
+        inside = np.flatnonzero(text[WINDOW - 1 :] == text[:n_windows])
+        hit = inside[twice([text[inside], *(code[inside + j] for j in range(WINDOW))])]
+        step = np.zeros(len(code) + 1, np.int64)
         np.add.at(step, hit, 1)
         np.add.at(step, hit + WINDOW, -1)
         covered = np.cumsum(step)[:-1] > 0
@@ -161,9 +177,9 @@ def judge(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col:
 
 def measure(texts: pa.Array, ratios: np.ndarray, threshold: float) -> list[pa.Array]:
     words = Words(*buffers(texts))
-    h = words.hashes()
-    c = base_counts(words, h)
-    bucket, text = features(words, h, len(ratios).bit_length() - 1)
+    code, distinct = words.codes()
+    c = base_counts(words, code)
+    bucket, text = features(words, string_hashes(distinct)[code], len(ratios).bit_length() - 1)
     n = len(words.counts)
     number = np.bincount(text, minlength=n)
     score = np.bincount(text, weights=ratios[bucket], minlength=n) / np.maximum(number, 1)

@@ -4,14 +4,23 @@ Fingerprints: lower-case A-Z, words, 4-word shingles with repeats joined by one
 sequence, none: fingerprint zero), XXH64 with seed 42; a bit is 1 if it is set in over half of the hashes.
 Documents of fingerprints that differ in at most ``MAX_BITS`` bits link.
 
-Search, over distinct fingerprints only: the bits are cut into blocks so that two linked fingerprints agree on
-``blocks - MAX_BITS`` of them at least, and each choice of so many blocks makes a bucket.  Within a bucket the
-Hamming distances to many pivots are tabulated; a pair whose coordinates differ by more than ``MAX_BITS`` at any
-pivot can't link (triangle inequality), survivors are verified.  A bucket yields a spanning forest of its links,
-never all pairs.  A bucket of more than ``TILE`` fingerprints is dealt as pairs of tiles over many tasks.
-
-Defined results: a null text counts as empty; equal texts share a fingerprint; rows of one id are one node; a
-null id is dropped, as no component can name it; an empty table gives an empty result; other columns are ignored.
+Search, over distinct fingerprints only.  The Hamming distances to many pivots are tabulated; a pair whose coordinates
+differ by more than ``MAX_BITS`` at any pivot can't link (triangle inequality), survivors are verified.  Every pair that
+meets goes through the whole table; of larger groups only those rows meet whose distances to the first pivot are
+within ``MAX_BITS`` at all.
+
+Which pairs meet: two fingerprints that link differ by 4 bits at most, while their distances to any reference that does
+not depend on them spread by as much again (32 +- 4), so that the table alone, exact as it is, would look at a fixed share
+of all pairs.  So the bits are cut into blocks such that two linked fingerprints agree on ``keep`` of them at least, and
+each choice of so many blocks makes a bucket; pairs meet within buckets.  The rows of a bucket of more than
+``TILE`` are dealt once more by blocks of the bits on which it doesn't agree yet, and so on: a bucket never holds
+more than the free bits tell apart, a row is copied a fixed number of times for each level, and no link is lost.  A bucket
+yields a spanning forest of its links, never all pairs.
+
+Defined results: a null text counts as empty; equal texts share a fingerprint; rows of one id are one node (so
+fingerprints of one id are linked), of which equal fingerprints are returned once; rows with a null id are linked
+like others and returned once for each fingerprint, their component is the smallest id that they reach, or null; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,68 +34,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import Forest, Words, buffers, connected_components, materialize, mix, pick, signed, text_slices, thrifty
+from .common import Forest, Words, buffers, connected_components, is_empty, materialize, pick, signed, text_slices, thrifty, xxh64
 
 SHINGLE = 4
 MAX_BITS = 4
 PIVOTS = 24
+#: Rows of a bucket that are compared in one place.
 TILE = 2048
 
-_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # fixed values of XXH64
-_SEED = np.uint64(42)
-
-
-def _rot(x: np.ndarray, r: int) -> np.ndarray:
-    return (x << np.uint64(r)) | (x >> np.uint64(64 - r))
-
-
-def _round(acc: np.ndarray, lane: np.ndarray) -> np.ndarray:
-    return _rot(acc + lane * _P2, 31) * _P1
-
-
-def xxh64(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """XXH64 (seed 42) of the spans of ``data``, which must have 8 spare bytes at its end."""
-    at8 = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
-    at4 = np.ndarray((len(data) - 7,), "<u4", data, strides=(1,))
-    with np.errstate(over="ignore"):
-        h = np.full(len(starts), _SEED + _P5, np.uint64)
-        at = starts.copy()
-        big = np.flatnonzero(lens >= 32)
-        if len(big):
-            p, stripes = starts[big], lens[big] // 32
-            v = [np.full(len(big), x, np.uint64) for x in (_SEED + _P1 + _P2, _SEED + _P2, _SEED, _SEED - _P1)]
-            live, k = np.arange(len(big)), 0
-            while len(live):
-                q = p[live] + 32 * k
-                for j in range(4):
-                    v[j][live] = _round(v[j][live], at8[q + 8 * j])
-                k += 1
-                live = live[stripes[live] > k]
-            acc = _rot(v[0], 1) + _rot(v[1], 7) + _rot(v[2], 12) + _rot(v[3], 18)
-            for x in v:
-                acc = (acc ^ _round(np.zeros_like(x), x)) * _P1 + _P4
-            h[big] = acc
-            at[big] += 32 * stripes
-        h += lens.astype(np.uint64)
-        left = (starts + lens) - at
-        for k in range(3):
-            i = np.flatnonzero(left >= 8 * (k + 1))
-            lane = _round(np.zeros(len(i), np.uint64), at8[at[i] + 8 * k])
-            h[i] = _rot(h[i] ^ lane, 27) * _P1 + _P4
-        at += left & ~7
-        left &= 7
-        i = np.flatnonzero(left >= 4)
-        h[i] = _rot(h[i] ^ (at4[at[i]].astype(np.uint64) * _P1), 23) * _P2 + _P3
-        at[i] += 4
-        left &= 3
-        for k in range(3):
-            i = np.flatnonzero(left > k)
-            h[i] = _rot(h[i] ^ (data[at[i] + k].astype(np.uint64) * _P5), 11) * _P1
-        h = (h ^ (h >> np.uint64(33))) * _P2
-        h = (h ^ (h >> np.uint64(29))) * _P3
-        return h ^ (h >> np.uint64(32))
-
-
 #: Byte -> its eight bits, each in a byte of its own.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
@@ -144,7 +99,7 @@ def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for b in text_slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.int64()), pa.array(signed(fingerprints(b.column("text"), width)))], ["doc_id", "fp"])
 
-    return pick(docs, id=id_col, text=text_col).where("id is not null").mapInArrow(thrifty(run), "doc_id long, fp long")
+    return pick(docs, id=id_col, text=text_col).mapInArrow(thrifty(run), "doc_id long, fp long")
 
 
 def marked(docs: DataFrame, name: str, text_col: str = "text", width: int = SHINGLE) -> DataFrame:
@@ -162,14 +117,18 @@ def digits(fp: str) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def plan_blocks(n: int, max_bits: int = MAX_BITS) -> tuple[list[tuple[int, int]], int]:
-    """Blocks as (shift, width), and how many of them two linked fingerprints share at least; keys are about log2(n) bits wide."""
-    for keep in (2, 3, 4):
-        blocks = max_bits + keep
-        if keep == 4 or 64 // blocks * keep >= np.log2(max(n, 2)) - 5:
-            break
-    cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)], keep
+def plan_keep(n: int, max_bits: int = MAX_BITS) -> int:
+    """How many blocks two linked fingerprints have to share, of ``max_bits`` more: keys are about log2(n) bits wide."""
+    return next((k for k in (2, 3) if 64 // (max_bits + k) * k >= np.log2(max(n, 2)) - 5), 4)
+
+
+def masks(agreed: int, keep: int, max_bits: int = MAX_BITS) -> list[int]:
+    """Masks of bits such that two fingerprints that differ in ``max_bits`` bits at most, and agree on ``agreed``, agree on one of them; each holds ``agreed``."""
+    free = [i for i in range(64) if not agreed >> i & 1]
+    blocks = max_bits + keep
+    cuts = [round(len(free) * i / blocks) for i in range(blocks + 1)]
+    parts = [sum(1 << i for i in free[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return sorted({agreed | sum(chosen) for chosen in combinations(parts, keep)})
 
 
 def pivots(count: int = PIVOTS) -> np.ndarray:
@@ -187,8 +146,6 @@ class PivotTable:
     def linked(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Those of the pairs that link: coordinate by coordinate, then in full."""
         for p in range(self.rows.shape[1]):
-            if len(x) < 64:
-                break
             near = np.abs(self.rows[x, p] - self.rows[y, p]) <= self.max_bits
             x, y = x[near], y[near]
         ok = np.bitwise_count(self.fps[x] ^ self.fps[y]) <= self.max_bits
@@ -199,75 +156,86 @@ class PivotTable:
 _SMALL = 48
 
 
-def bucket_forest(fps: np.ndarray, key: np.ndarray, side: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what links within buckets of equal ``key``; rows of sides 0 and 1 meet only across, side 2 among themselves."""
-    order = np.lexsort((side, key))
-    fps, key, side = fps[order], key[order], side[order]
+def bucket_forest(fps: np.ndarray, key: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what links within buckets of equal ``key``."""
     nodes, node = np.unique(fps, return_inverse=True)
     table, trees = PivotTable(nodes, max_bits), Forest(len(nodes))
+    order = np.lexsort((table.rows[node, 0], key))  # within a bucket by distance to the first pivot
+    key, node = key[order], node[order]
     heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.append(heads, len(key)))
-    small = np.repeat(size <= _SMALL, size)
-    at = np.flatnonzero(small)
+    at = np.flatnonzero(np.repeat(size <= _SMALL, size))
     for d in range(1, _SMALL):
         at = at[at + d < len(key)]
         at = at[key[at + d] == key[at]]
         if not len(at):
             break
-        pairs = at[(side[at] == 2) | (side[at] != side[at + d])]
-        trees.add(*table.linked(node[pairs], node[pairs + d]))
+        trees.add(*table.linked(node[at], node[at + d]))
     for h, n in zip(heads[size > _SMALL].tolist(), size[size > _SMALL].tolist(), strict=True):
-        mine, where = node[h : h + n], side[h : h + n]
-        rows = mine if where[0] == 2 else mine[where == 0]
-        cols = mine if where[0] == 2 else mine[where == 1]
-        step = max(1, (1 << 18) // max(len(cols), 1))
-        for k in range(0, len(rows), step):
-            part = rows[k : k + step]
-            rest = cols[k:] if where[0] == 2 else cols
-            close = np.ones((len(part), len(rest)), bool)
-            for p in range(4):
-                close &= np.abs(table.rows[part, p][:, None] - table.rows[rest, p][None, :]) <= max_bits
-            x, y = np.nonzero(close)
-            trees.add(*table.linked(part[x], rest[y]))
+        mine = node[h : h + n]
+        first = table.rows[mine, 0]
+        reach = np.searchsorted(first, first + max_bits, side="right")  # rows that a row meets end here
+        many = reach - np.arange(n) - 1
+        ends = np.cumsum(many)
+        a = 0
+        while a < n:
+            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 20), side="right")))
+            x = np.repeat(np.arange(a, z), many[a:z])
+            y = np.arange(len(x)) - np.repeat(np.cumsum(many[a:z]) - many[a:z], many[a:z]) + x + 1
+            trees.add(*table.linked(mine[x], mine[y]))
+            a = z
     return nodes[np.array(trees.left, np.int64)], nodes[np.array(trees.right, np.int64)]
 
 
+def _long(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
 def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(a, b): links between distinct fingerprints ``nodes(fp)`` that connect all that are linked."""
-    blocks, keep = plan_blocks(nodes.count(), max_bits)
-    keys = []
-    for c, chosen in enumerate(combinations(blocks, keep)):
-        mask = sum(((1 << w) - 1) << s for s, w in chosen)
-        mask -= (1 << 64) if mask >> 63 else 0
-        keys.append(F.struct(F.lit(c).alias("c"), F.col("fp").bitwiseAND(F.lit(mask).cast("long")).alias("k")))
-    spread = nodes.select("fp", F.explode(F.array(*keys)).alias("key")).select("fp", F.col("key.c").alias("c"), F.col("key.k").alias("k"))
-    spread = materialize(spread, "buckets")
-    sizes = spread.groupBy("c", "k").count().where("count > 1")
-    sizes = materialize(sizes.select("c", "k", F.ceil(F.col("count") / TILE).cast("int").alias("tiles")), "sizes")
-    kept = spread.join(sizes, ["c", "k"])
-    # a bucket of one tile is one group; larger ones are dealt as pairs of tiles
-    own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    dealt = kept.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("fp", "c", "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         rows = pa.Table.from_batches(got)
-        fp, c, k, i, j, own = (rows.column(x).to_numpy() for x in ("fp", "c", "k", "i", "j", "own"))
-        key = mix(mix(mix(k.view(np.uint64)) + c.astype(np.uint64)) + (i.astype(np.uint64) << np.uint64(32)) + j.astype(np.uint64))
-        left, right = bucket_forest(fp.view(np.uint64), key, np.where(i == j, 2, own == j).astype(np.int8), max_bits)
+        fp, mask, k = (rows.column(x).to_numpy() for x in ("fp", "mask", "k"))
+        _, mask = np.unique(mask, return_inverse=True)
+        values, k = np.unique(k, return_inverse=True)
+        left, right = bucket_forest(fp.view(np.uint64), mask * len(values) + k, max_bits)
         yield pa.RecordBatch.from_arrays([pa.array(signed(left)), pa.array(signed(right))], ["a", "b"])
 
-    return dealt.repartition("c", "k", "i", "j").mapInArrow(thrifty(search), "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links)."""
+    keep, agreed, rows, found = plan_keep(nodes.count(), max_bits), [0], nodes.select("fp", F.lit(0).cast("long").alias("mask")), None
+    while True:
+        finer = nodes.sparkSession.createDataFrame([(_long(mask), [_long(m) for m in masks(mask, keep, max_bits)]) for mask in agreed], "mask long, finer array<long>")
+        spread = rows.join(F.broadcast(finer), "mask").select("fp", F.explode("finer").alias("mask")).withColumn("k", F.col("fp").bitwiseAND(F.col("mask")))
+        spread = materialize(spread, "buckets")
+        sizes = materialize(spread.groupBy("mask", "k").count().where("count > 1"), "sizes")
+        small = spread.join(sizes.where(F.col("count") <= TILE).select("mask", "k"), ["mask", "k"])
+        met = small.repartition("mask", "k").mapInArrow(thrifty(search), "a long, b long")
+        found = met if found is None else found.unionByName(met)
+        hot = sizes.where(F.col("count") > TILE)
+        agreed = [r["mask"] % (1 << 64) for r in hot.select("mask").distinct().collect()]  # at most as many as masks of this level
+        if not agreed:
+            return found
+        # a level leaves fewer free bits, and a bucket holds no more rows than these tell apart: this ends
+        rows, keep = spread.join(hot.select("mask", "k"), ["mask", "k"]).select("fp", "mask"), 2
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, max_bits: int = MAX_BITS, ids_are_nodes: bool = True) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links).
+
+    Without ``ids_are_nodes`` different texts of one id are not linked by it.
+    """
     prints = materialize(with_fingerprint(docs, id_col, text_col, width).distinct(), "prints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    component = connected_components(links(nodes.select("fp"), max_bits))
+    edges = links(nodes.select("fp"), max_bits)
+    if ids_are_nodes:
+        ids = prints.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z")
+        ids = materialize(ids.select("doc_id", "a"), "repeated-ids")
+        if not is_empty(ids):
+            edges = edges.unionByName(prints.join(ids, "doc_id").where("fp <> a").select("a", F.col("fp").alias("b")))
+    component = connected_components(edges)
     # components are named by a fingerprint; name them by their smallest document instead
     named = nodes.join(component.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     named = materialize(named, "named")

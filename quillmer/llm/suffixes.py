@@ -5,19 +5,23 @@ document) covers it; strings are judged on the input and never cross documents.
 
 1. *Shards.*  The least hashed ``GRAM``-byte gram of a ``LENGTH``-byte window (leftmost of equal ones) names the
    window, so equal windows have equal names.  Neighbouring windows whose least gram stands at the same place form
-   one piece of text, on average about 42 windows long; pieces are dealt to shards by name.  Equal pieces are
-   reduced to the earliest within a task first, then within the shard: the others are repeats as a whole.
+   one piece of text, on average about 42 windows long; pieces are dealt to shards by name.  Pieces of equal bytes
+   (told by Arrow's dictionary, never by a hash) are reduced to the earliest within a task first, then within the
+   shard: the others are repeats as a whole.
 2. *Suffix array of a shard*, over pieces whose name other, different pieces share: suffixes are classified as
-   smaller or larger than the next one; the leftmost-smaller (LMS) substrings are sorted by inducing, named, and the
-   order of LMS suffixes with equal names is found recursively on the string of names (pairs of ranks, doubling);
-   from it the whole array is induced, one bucket after another, each with whole-array operations: every suffix is
-   placed once a pass.
+   smaller or larger than the next one; the leftmost-smaller (LMS) substrings are sorted by inducing and named, symbol
+   by symbol; the order of LMS suffixes with equal names comes from the suffix array of the string of names, made in
+   the same way (many names are written as two digits each, so that buckets stay few; names that occur once are left out, but
+   for the one that ends a run of others); from it the whole array is induced, one bucket after another, each with
+   whole-array operations: every suffix is placed once a pass.  Where the pieces of one name exceed an array's size
+   they are cut again by another hash of the grams, and so dealt to smaller arrays.
 3. *Permuted common prefixes.*  In text order, a common prefix is compared byte by byte only where it is irreducible
    (the bytes before differ); elsewhere it is one less than its left neighbour's.
 4. Runs of the array whose neighbours share ``LENGTH`` bytes are equal windows: all but the earliest are removed.
 
-Defined results: a null text counts as empty; rows of one id are one document, and removed bytes are those found in
-any of them, applied to each row; a null id comes after all others; an empty table gives an empty result; other
+Defined results: a null text counts as empty.  Rows that agree in id and text are one document.  Rows of one id with
+different texts, and rows with a null id, are documents of their own: those of one id come in the order of two 64-bit
+hashes of their texts, those with a null id so after all others.  An empty table gives an empty result; other
 columns are ignored or, by :func:`deduplicated`, kept.  A text is worked on in segments of ``SEGMENT`` bytes.
 """
 
@@ -28,22 +32,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, free_name, mix, pack, pick, prefix_hashes, span_hashes, text_slices, thrifty, unpack
+from .common import attach, buffers, codes, free_name, is_empty, materialize, mix, pack, pick, text_slices, thrifty, unpack
 
 LENGTH = 100
 GRAM = 16
 SEGMENT = 1 << 21
 #: Text that a task holds pieces of before it sends them.
-FLUSH_BYTES = 16 << 20
+FLUSH_BYTES = 12 << 20
 #: Piece bytes that a shard is planned for, and piece bytes for each byte of text.
 SHARD_BYTES = 8 << 20
-#: Piece bytes of one suffix array; more only where one name has more.
+#: Piece bytes of one suffix array.
 PART_BYTES = 1_900_000
 SPREAD = 3.4
 LAST = (1 << 63) - 1
+#: Names of LMS substrings that are symbols as they are; more are written as two digits.
+SYMBOLS = 1024
+#: Times that the pieces of one name are cut again by another hash, each time by other grams.
+CUTS = 6
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -51,8 +59,9 @@ _POS_BITS = np.uint64(SEGMENT.bit_length() + 1)
 _POS_MASK = np.uint64((1 << int(_POS_BITS)) - 1)
 
 
-def pieces(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(text, start in raw, windows, name) of the pieces of all texts, segment by segment."""
+def pieces(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, salt: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, start in raw, windows, name) of the pieces of all texts, segment by segment; ``salt`` chooses the hash of grams."""
+    salted = mix(np.array([salt], np.uint64)) if salt else np.zeros(1, np.uint64)
     padded = np.concatenate([raw, np.zeros(16, np.uint8)])
     lanes = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
     width = length - GRAM + 1  # grams in a window
@@ -60,7 +69,7 @@ def pieces(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> Iterat
     while at < len(raw):
         to = min(at + SEGMENT, len(raw))
         end = min(to + length - 1, len(raw))  # windows that start before `to` end by here
-        g = mix(lanes[at:end] * _A ^ (lanes[at + 8 : end + 8] * _B + _A))
+        g = mix((lanes[at:end] ^ salted) * _A ^ (lanes[at + GRAM - 8 : end + GRAM - 8] * _B + _A))
         low = (g & ~_POS_MASK) | np.arange(end - at, dtype=np.uint64)
         step = 1
         while 2 * step <= width:
@@ -95,6 +104,18 @@ def spans(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lens, lens)
 
 
+def gather(raw: np.ndarray, starts: np.ndarray, lens: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """Bytes of all spans, one after another; their indices are made for some spans at a time."""
+    ends = np.cumsum(lens)
+    out, a = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8), 0
+    while a < len(lens):
+        at = int(ends[a] - lens[a])
+        z = max(a + 1, int(np.searchsorted(ends, at + block, side="right")))
+        out[at : int(ends[z - 1])] = raw[spans(starts[a:z], lens[a:z])]
+        a = z
+    return out
+
+
 # ---- suffix array
 
 
@@ -119,119 +140,127 @@ def induce(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, size: np.ndarray
     n_lms = np.bincount(t[lms], minlength=len(size))
     lms_end = np.cumsum(n_lms)
     sa = np.full(len(t), -1, np.int32)
-    head = begins.copy()
-
-    def place(j: np.ndarray, down: bool, at: np.ndarray) -> None:
+    head, tail = begins.copy(), ends - 1
+    count = np.arange(len(t), dtype=np.int32)
+    # what a suffix at 0 would induce is the last one, which neither pass places
+    larger, lesser = ~smaller, smaller.copy()
+    lesser[-1] = False
+
+    def place(j: np.ndarray, by: int, at: np.ndarray) -> None:
+        n = len(j)
+        if n < 12:
+            for x in j:
+                c = t[x]
+                k = at[c]
+                sa[k] = x
+                at[c] = k + by
+            return
         c = t[j]
-        order = np.argsort(c, kind="stable")
-        c, j = c[order], j[order]
-        firsts = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-        many = np.diff(np.append(firsts, len(c)))
-        which = c[firsts]
-        rank = np.arange(len(c)) - np.repeat(firsts, many)
-        if down:
-            sa[np.repeat(at[which], many) - rank] = j
-            at[which] -= many
-        else:
-            sa[np.repeat(at[which], many) + rank] = j
-            at[which] += many
+        order = c.argsort(kind="stable")
+        c = c[order]
+        new = np.empty(n, bool)
+        new[0] = True
+        np.not_equal(c[1:], c[:-1], out=new[1:])
+        k = count[:n]
+        k = at[c] + by * (k - np.maximum.accumulate(k * new))
+        sa[k] = j[order]
+        at[c] = k + by  # of equal symbols the last one stays
 
     used = np.flatnonzero(size)
-    for c in used:
-        a = begins[c]
-        while head[c] > a:  # larger suffixes of this bucket, also those that these induce here
-            b = head[c]
+    for c, a, k, z in zip(used.tolist(), begins[used].tolist(), n_lms[used].tolist(), lms_end[used].tolist(), strict=True):
+        b = head[c]
+        while b > a:  # larger suffixes of this bucket, also those that these induce here
             j = sa[a:b] - 1
             a = b
-            j = j[j >= 0]
-            j = j[~smaller[j]]
+            j = j[larger[j]]
             if len(j):
-                place(j, False, head)
-        k = n_lms[c]
+                place(j, 1, head)
+                b = head[c]
         if k:
-            j = lms[lms_end[c] - k : lms_end[c]] - 1
-            j = j[j >= 0]
+            j = lms[z - k : z] - 1
+            j = j[larger[j]]
             if len(j):
-                place(j, False, head)
-    larger_end = head
-    tail = ends - 1
-    for c in used[::-1]:
-        b = ends[c] - 1
-        while tail[c] < b:  # smaller suffixes of this bucket
-            a = tail[c]
+                place(j, 1, head)
+    for c, low, high, b in zip(used[::-1].tolist(), begins[used[::-1]].tolist(), head[used[::-1]].tolist(), (ends[used[::-1]] - 1).tolist(), strict=True):
+        a = tail[c]
+        while a < b:  # smaller suffixes of this bucket
             j = sa[b:a:-1] - 1
             b = a
-            j = j[j >= 0]
-            j = j[smaller[j]]
+            j = j[lesser[j]]
             if len(j):
-                place(j, True, tail)
-        j = sa[begins[c] : larger_end[c]][::-1] - 1
-        j = j[j >= 0]
-        j = j[smaller[j]]
+                place(j, -1, tail)
+                a = tail[c]
+        j = sa[low:high][::-1] - 1
+        j = j[lesser[j]]
         if len(j):
-            place(j, True, tail)
+            place(j, -1, tail)
         if c == 0:
             sa[0] = len(t) - 1
     return sa
 
 
-def rank_order(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a string of names: equal ranks are told apart by the ranks ``step`` further on."""
-    n = len(names)
-    order = np.argsort(names, kind="stable")
-    rank = np.empty(n, np.int64)
-    key = names[order]
-    first = np.append(True, key[1:] != key[:-1])
-    rank[order] = np.flatnonzero(first)[np.cumsum(first) - 1]
-    step = 1
-    while True:
-        alone = np.zeros(n, bool)
-        many = np.bincount(rank, minlength=n)
-        alone = many[rank] == 1
-        open_ = np.flatnonzero(~alone)
-        if not len(open_):
-            break
-        ahead = np.where(open_ + step < n, rank[np.minimum(open_ + step, n - 1)], -1)
-        o = np.lexsort((ahead, rank[open_]))
-        p, r, h = open_[o], rank[open_][o], ahead[o]
-        head = np.append(True, r[1:] != r[:-1])
-        fresh = head.copy()
-        fresh[1:] |= h[1:] != h[:-1]
-        at = np.arange(len(p))
-        group = at[_before(head)]
-        sub = at[_before(fresh)]
-        rank[p] = r + (sub - group)
-        step *= 2
-    out = np.empty(n, np.int64)
-    out[rank] = np.arange(n)
-    return out
+def names(t: np.ndarray, by_substring: np.ndarray, till: np.ndarray) -> np.ndarray:
+    """Names of LMS substrings ``t[i:till]`` in their order: equal symbols, equal name."""
+    padded = np.concatenate([t, np.zeros(4, np.uint16)])
+    lanes = np.ndarray((len(t) + 1,), "<u8", padded, strides=(2,))
+    start, many = by_substring.astype(np.int64), till - by_substring
+    same = many[1:] == many[:-1]
+    live, k = np.flatnonzero(same), 0
+    while len(live):
+        x = lanes[start[live] + k] ^ lanes[start[live + 1] + k]
+        left = many[live] - k
+        x &= np.where(left >= 4, np.uint64((1 << 64) - 1), (np.uint64(1) << (np.uint64(16) * np.minimum(left, 3).astype(np.uint64))) - np.uint64(1))
+        same[live[x != 0]] = False
+        live = live[(x == 0) & (left > 4)]
+        k += 4
+    return np.cumsum(np.append(False, ~same), dtype=np.int32)
 
 
-def suffix_array(data: np.ndarray) -> np.ndarray:
-    """Suffix array of bytes by induced sorting; the end of the data is smaller than any byte."""
-    t = np.zeros(len(data) + 1, np.uint16)
-    t[:-1] = data
-    t[:-1] += 1
+def sort_suffixes(t: np.ndarray) -> np.ndarray:
+    """Suffix array of symbols (uint16); the last one, 0, is smaller than all others."""
     smaller = classify(t)
     is_lms = np.append(False, smaller[1:] & ~smaller[:-1])
     lms = np.flatnonzero(is_lms).astype(np.int32)
-    size = np.bincount(t, minlength=257)
+    size = np.bincount(t)
     if len(lms) > 1:
         sa = induce(t, smaller, lms[np.argsort(t[lms], kind="stable")], size)
         by_substring = sa[is_lms[sa]]
-        # name LMS substrings: each ends with the next LMS symbol
-        till = np.empty(len(t), np.int64)
+        till = np.empty(len(t), np.int32)  # each ends with the next LMS symbol
         till[lms] = np.append(lms[1:], len(t) - 1) + 1
-        hashes = span_hashes(prefix_hashes_16(t), by_substring.astype(np.int64), till[by_substring])
-        name = np.empty(len(t), np.int64)
-        name[by_substring] = np.cumsum(np.append(False, hashes[1:] != hashes[:-1]))
-        lms = lms[rank_order(name[lms])]
-    return induce(t, smaller, lms, size)[1:]
+        name = np.empty(len(t), np.int32)
+        name[by_substring] = names(t, by_substring, till[by_substring])
+        name = name[lms]
+        del sa, till
+        alone = np.bincount(name)[name] == 1
+        if alone.all():
+            lms = by_substring
+        else:
+            # a comparison of two suffixes ends at a name that occurs once: others of these can go
+            kept = ~alone
+            kept[1:] |= ~alone[:-1]
+            _, number = np.unique(name[kept], return_inverse=True)
+            top = int(number.max())
+            width, base = (1, top + 1) if top < SYMBOLS else (2, int(np.sqrt(top)) + 1)
+            digits = np.zeros(width * len(number) + 1, np.uint16)
+            digits[width - 1 : -1 : width] = number % base + 1
+            if width == 2:
+                digits[:-1:2] = number // base + 1
+            order = sort_suffixes(digits)
+            order = order[(order % width == 0) & (order < width * len(number))] // width
+            rank = np.empty(len(number), np.int64)
+            rank[order] = np.arange(len(number))
+            place = np.zeros(len(name), np.int64)
+            place[kept] = rank
+            lms = lms[np.lexsort((place, name))]
+    return induce(t, smaller, lms, size)
 
 
-def prefix_hashes_16(t: np.ndarray) -> np.ndarray:
-    """Running hashes of the bytes that the symbols stand for; the end, which is only the last symbol, counts as byte 0."""
-    return prefix_hashes(np.where(t == 0, 0, t - 1).astype(np.uint8))
+def suffix_array(data: np.ndarray) -> np.ndarray:
+    """Suffix array of bytes by induced sorting; the end of the data is smaller than any byte."""
+    t = np.zeros(len(data) + 1, np.uint16)
+    t[:-1] = data
+    t[:-1] += 1
+    return sort_suffixes(t)[1:]
 
 
 # ---- common prefixes
@@ -270,7 +299,9 @@ def repeats(content: np.ndarray, begin: np.ndarray, lens: np.ndarray, doc: np.nd
     n = int(lens.sum() + len(lens))
     at = np.cumsum(lens + 1) - (lens + 1)
     data = np.full(n, 0xFF, np.uint8)  # no UTF-8 text has this byte
-    data[spans(at, lens)] = content[spans(begin, lens)]
+    ends_ = np.zeros(n, bool)
+    ends_[at + lens] = True
+    data[~ends_] = gather(content, begin, lens)
     room = np.repeat(at + lens, lens + 1) - np.arange(n)
     sa = suffix_array(data).astype(np.int64)
     plcp = common_prefixes(data, sa, room)
@@ -300,6 +331,16 @@ def repeats(content: np.ndarray, begin: np.ndarray, lens: np.ndarray, doc: np.nd
 # ---- the job
 
 
+def fresh(code: np.ndarray, name: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by name, bytes and place; in it, which pieces are the earliest of equal ones, and which are later ones."""
+    order = np.lexsort((pos, doc, code, name))
+    code, doc, pos = code[order], doc[order], pos[order]
+    first = np.append(True, code[1:] != code[:-1])[: len(code)]
+    again = ~first
+    again[1:] &= (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])
+    return order, first, again
+
+
 class Outbox:
     """Pieces of a task, reduced to the earliest of equal ones, packed by shard."""
 
@@ -308,102 +349,132 @@ class Outbox:
         self.clear()
 
     def clear(self) -> None:
-        self.raw, self.doc, self.start, self.pos, self.windows, self.name, self.hash, self.size = [], [], [], [], [], [], [], 0
+        self.raw, self.key, self.doc, self.start, self.pos, self.windows, self.name, self.size, self.docs = [], [], [], [], [], [], [], 0, 0
 
-    def add(self, raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> None:
-        prefix = prefix_hashes(raw)
+    def add(self, raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray, marks: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        """``ids`` and two ``marks`` (zero, if not given) make up the documents' names and order."""
+        marks = marks or (np.zeros(len(ids), np.int64),) * 2
         for text, start, windows, name in pieces(raw, offsets, self.length):
-            self.doc.append(ids[text])
+            self.doc.append(text + self.docs)
             self.start.append(start + self.size)
             self.pos.append(start - offsets[text])
             self.windows.append(windows)
             self.name.append(name)
-            self.hash.append(span_hashes(prefix, start, start + windows + self.length - 1))
+        self.key.append(np.stack([ids, *marks]))
         self.raw.append(raw)
         self.size += len(raw)
+        self.docs += len(ids)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.doc:
             self.clear()
             return
-        raw = np.concatenate(self.raw)
-        doc, start, pos, windows, name, h = (np.concatenate(x) for x in (self.doc, self.start, self.pos, self.windows, self.name, self.hash))
+        raw, key = np.concatenate(self.raw), np.concatenate(self.key, axis=1)
+        doc, start, pos, windows, name = (np.concatenate(x) for x in (self.doc, self.start, self.pos, self.windows, self.name))
         self.clear()
         if not len(doc):
             return
+        key, rank = ranked(key)
+        doc, lens = rank[doc], windows + self.length - 1
+        code, _ = codes(gather(raw, start, lens), lens)
         shard = ((name >> np.uint64(32)) % np.uint64(self.shards)).astype(np.int64)
-        order = np.lexsort((pos, doc, h, name, shard))
-        shard, doc, start, pos, windows, name, h = (x[order] for x in (shard, doc, start, pos, windows, name, h))
-        fresh = np.append(True, (h[1:] != h[:-1]) | (name[1:] != name[:-1]))
-        again = ~fresh
-        again[1:] &= (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])
+        order, first, again = fresh(code, name, doc, pos)
+        by_shard = np.argsort(shard[order], kind="stable")
+        order, first, again = order[by_shard], first[by_shard], again[by_shard]
+        shard, doc, start, pos, lens, name = (x[order] for x in (shard, doc, start, pos, lens, name))
         heads = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
         for a, z in zip(heads, np.append(heads[1:], len(shard)), strict=True):
-            f, r = a + np.flatnonzero(fresh[a:z]), a + np.flatnonzero(again[a:z])
-            lens = windows[f] + self.length - 1
+            f, r = a + np.flatnonzero(first[a:z]), a + np.flatnonzero(again[a:z])
             docs, number = np.unique(doc[a:z], return_inverse=True)
             body = pack(
-                level=5,
-                content=raw[spans(start[f], lens)],
+                level=6,
+                content=gather(raw, start[f], lens[f]),
                 name=mix(name[f]) & np.uint64(0xFFFFFFFF),  # within a shard a short name does: what shares it is only compared
-                docs=docs.view(np.uint64),
+                id=key[0, docs].view(np.uint64),
+                mark1=key[1, docs].view(np.uint64),
+                mark2=key[2, docs].view(np.uint64),
                 doc=number[f - a],
                 pos=pos[f],
-                lens=lens,
+                lens=lens[f],
                 rdoc=number[r - a],
                 rpos=pos[r],
-                rlens=windows[r] + self.length - 1,
+                rlens=lens[r],
             )
             yield pa.RecordBatch.from_arrays([pa.array([int(shard[a])], pa.int32()), pa.array([body], pa.binary())], ["shard", "body"])
 
 
-def piece_hashes(content: np.ndarray, lens: np.ndarray, block: int = 1 << 20) -> np.ndarray:
-    """Hashes of the pieces that make up ``content`` one after another, some at a time."""
-    ends, out, a = np.cumsum(lens), [np.zeros(0, np.uint64)], 0
-    while a < len(lens):
-        at = int(ends[a] - lens[a])
-        z = max(a + 1, int(np.searchsorted(ends, at + block, side="right")))
-        stop = ends[a:z] - at
-        out.append(span_hashes(prefix_hashes(content[at : int(ends[z - 1])]), stop - lens[a:z], stop))
-        a = z
-    return np.concatenate(out)
-
-
-def shard_repeats(bodies: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, start, end) of what goes by the pieces of one shard."""
-    got = [unpack(b) for b in bodies]
-    for g in got:
-        ids = g.pop("docs").astype(np.uint64).view(np.int64)
-        g["doc"], g["rdoc"] = ids[g["doc"].astype(np.int64)], ids[g["rdoc"].astype(np.int64)]
-    name, doc, pos, lens, rdoc, rpos, rlens = (np.concatenate([g.pop(k).astype(np.int64) for g in got]) for k in ("name", "doc", "pos", "lens", "rdoc", "rpos", "rlens"))
-    content = np.concatenate([g.pop("content") for g in got])
-    begin = np.cumsum(lens) - lens
-    h = piece_hashes(content, lens)
-    order = np.lexsort((pos, doc, h, name))
-    name, doc, pos, lens, begin, h = (x[order] for x in (name, doc, pos, lens, begin, h))
-    fresh = np.append(True, (h[1:] != h[:-1]) | (name[1:] != name[:-1])) if len(h) else np.zeros(0, bool)
-    again = ~fresh
-    if len(h):
-        again[1:] &= (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])
-    out = [(rdoc, rpos, rpos + rlens), (doc[again], pos[again], pos[again] + lens[again])]
-    f = np.flatnonzero(fresh)
+def ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct columns of ``key`` in order, and the place of each column among them."""
+    order = np.lexsort(key[::-1])
+    ordered = key[:, order]
+    new = np.append(True, (ordered[:, 1:] != ordered[:, :-1]).any(axis=0))[: key.shape[1]]
+    rank = np.empty(key.shape[1], np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return ordered[:, new], rank
+
+
+def settle(content: np.ndarray, begin: np.ndarray, lens: np.ndarray, doc: np.ndarray, pos: np.ndarray, name: np.ndarray, length: int, cuts: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(doc, start, end) of what goes among the pieces ``content[begin:begin+lens]``."""
+    whole = int(lens.sum()) == len(content) and bool((begin == np.cumsum(lens) - lens).all())  # the pieces are it, one after another
+    code, _ = codes(content if whole else gather(content, begin, lens), lens)
+    order, first, again = fresh(code, name, doc, pos)
+    name, doc, pos, lens, begin = (x[order] for x in (name, doc, pos, lens, begin))
+    yield doc[again], pos[again], pos[again] + lens[again]
+    f = np.flatnonzero(first)
     many = np.bincount(np.cumsum(np.append(False, name[f][1:] != name[f][:-1]))) if len(f) else np.zeros(0, np.int64)
     f = f[np.repeat(many, many) > 1]
-    # shards of few, large names are worked on in parts that don't part a name
     while len(f):
         size = np.cumsum(lens[f])
         cut = int(np.searchsorted(size, PART_BYTES, side="right"))
-        while 0 < cut < len(f) and name[f[cut]] == name[f[cut - 1]]:
-            cut += 1
-        part, f = (f, f[:0]) if not 0 < cut < len(f) else (f[:cut], f[cut:])
-        out.append(repeats(content, begin[part], lens[part], doc[part], pos[part], length))
-    return tuple(np.concatenate([np.asarray(x[i], np.int64) for x in out]) for i in range(3))
+        if cut < len(f):  # names stay whole
+            cut = int(np.searchsorted(name[f], name[f[cut]], side="left")) or int(np.searchsorted(name[f], name[f[cut]], side="right"))
+        part, f = f[:cut], f[cut:]
+        if lens[part].sum() > PART_BYTES and cuts < CUTS:  # one name
+            held = gather(content, begin[part], lens[part])
+            offsets = np.append(0, np.cumsum(lens[part]))
+            text, start, windows, names_ = (np.concatenate(x) for x in zip(*pieces(held, offsets, length, cuts + 1), strict=True))
+            yield from settle(held, start, windows + length - 1, doc[part][text], pos[part][text] + start - offsets[text], names_, length, cuts + 1)
+        else:
+            yield repeats(content, begin[part], lens[part], doc[part], pos[part], length)
 
 
-def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """(doc, start, end): byte ranges that go; ranges of a document may overlap.  A null id is ``LAST``."""
-    spark = docs.sparkSession
-    rows = pick(docs, id=id_col, text=text_col).where("text is not null")
+def shard_repeats(bodies: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, end) of what goes by the pieces of one shard; a document is a column of its id and two marks."""
+    got = [unpack(b) for b in bodies]
+    tables = [np.stack([g.pop(k).astype(np.uint64).view(np.int64) for k in ("id", "mark1", "mark2")]) for g in got]
+    key, rank = ranked(np.concatenate(tables, axis=1))
+    at = 0
+    for g, x in zip(got, tables, strict=True):
+        mine = rank[at : at + x.shape[1]]
+        at += x.shape[1]
+        g["doc"], g["rdoc"] = mine[g["doc"].astype(np.int64)], mine[g["rdoc"].astype(np.int64)]
+    name, doc, pos, lens, rdoc, rpos, rlens = (np.concatenate([g.pop(k).astype(np.int64) for g in got]) for k in ("name", "doc", "pos", "lens", "rdoc", "rpos", "rlens"))
+    content = np.concatenate([g.pop("content") for g in got])
+    out = [(rdoc, rpos, rpos + rlens), *settle(content, np.cumsum(lens) - lens, lens, doc, pos, name, length)]
+    doc, start, end = (np.concatenate([np.asarray(x[i], np.int64) for x in out]) for i in range(3))
+    return key[:, doc], start, end
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` and, in three columns of the names returned, what names its documents: the id, and for null and repeated ids two hashes of the text."""
+    names_ = [free_name(docs, x) for x in ("doc_", "mark1_", "mark2_")]
+    again = free_name(docs, "again_")
+    rows = docs.withColumn(names_[0], F.col(f"`{id_col}`").cast("long"))
+    ids = pick(docs, id=id_col).select(F.col("id").cast("long").alias(names_[0])).where(F.col(names_[0]).isNotNull())
+    twice = materialize(ids.groupBy(names_[0]).agg(F.count("*").alias("n")).where("n > 1").select(names_[0], F.lit(True).alias(again)), "repeated-ids")
+    odd = F.col(names_[0]).isNull()
+    if not is_empty(twice):
+        rows, odd = attach(rows, twice, names_[0], salt=text_col), odd | F.coalesce(F.col(again), F.lit(False))
+    text = F.col(f"`{text_col}`")
+    rows = rows.withColumns({names_[1]: F.when(odd, F.xxhash64(text)).otherwise(F.lit(0).cast("long")), names_[2]: F.when(odd, F.xxhash64(F.lit(1), text)).otherwise(F.lit(0).cast("long"))})
+    rows = rows.withColumn(names_[0], F.coalesce(names_[0], F.lit(LAST)))
+    return rows.select(*(f"`{c}`" for c in docs.columns), *names_), names_
+
+
+def removed(rows: DataFrame, names_: list[str], text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """Of :func:`keyed` rows, (doc, mark1, mark2, start, end): byte ranges that go; ranges of a document may overlap."""
+    spark = rows.sparkSession
+    rows = pick(rows, doc=names_[0], mark1=names_[1], mark2=names_[2], text=text_col).where("text is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * SPREAD / SHARD_BYTES) + 1)
 
@@ -411,16 +482,16 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         box = Outbox(shards, length)
         for b in text_slices(batches, "text", 1 << 19):
             raw, offsets = buffers(b.column("text"))
-            box.add(raw, offsets, b.column("id").cast(pa.int64()).fill_null(LAST).to_numpy())
+            box.add(raw, offsets, b.column("doc").to_numpy(), (b.column("mark1").to_numpy(), b.column("mark2").to_numpy()))
             if box.size >= FLUSH_BYTES:
                 yield from box.flush()
         yield from box.flush()
 
     def work(t: pa.Table) -> pa.Table:
-        doc, start, end = shard_repeats(t.column("body").to_pylist(), length)
-        return pa.table({"doc": doc, "start": start, "end": end})
+        key, start, end = shard_repeats(t.column("body").to_pylist(), length)
+        return pa.table({"doc": key[0], "mark1": key[1], "mark2": key[2], "start": start, "end": end})
 
-    return rows.mapInArrow(thrifty(send), "shard int, body binary").groupBy("shard").applyInArrow(thrifty(work), "doc long, start long, end long")
+    return rows.mapInArrow(thrifty(send), "shard int, body binary").groupBy("shard").applyInArrow(thrifty(work), "doc long, mark1 long, mark2 long, start long, end long")
 
 
 def _merged(ranges: np.ndarray, size: int) -> np.ndarray:
@@ -443,18 +514,19 @@ def _kept(text: bytes, flat: list | None) -> tuple[bytes, int]:
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)), len(gone)
 
 
-def _with_ranges(docs: DataFrame, id_col: str, ranges: DataFrame) -> tuple[DataFrame, str]:
+def _with_ranges(docs: DataFrame, id_col: str, text_col: str, length: int) -> tuple[DataFrame, str]:
     """``docs`` and, in a column of the name returned, the ranges of each."""
-    doc, gone = free_name(docs, "doc_"), free_name(docs, "gone")
-    by_doc = ranges.groupBy(F.col("doc").alias(doc)).agg(F.flatten(F.collect_list(F.array("start", "end"))).alias(gone))
-    key: Column = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST))
-    return docs.withColumn(doc, key).join(by_doc, doc, "left").select(*(f"`{c}`" for c in docs.columns), gone), gone
+    rows, key = keyed(docs, id_col, text_col)
+    gone = free_name(rows, "gone")
+    ranges = removed(rows, key, text_col, length).withColumnsRenamed(dict(zip(("doc", "mark1", "mark2"), key, strict=True)))
+    by_doc = ranges.groupBy(*key).agg(F.flatten(F.collect_list(F.array("start", "end"))).alias(gone))
+    return rows.join(by_doc, key, "left").select(*(f"`{c}`" for c in docs.columns), gone), gone
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     rows = pick(docs, doc_id=id_col, text=text_col)
-    ranged, name = _with_ranges(rows, "doc_id", removed(rows, "doc_id", "text", length))
+    ranged, name = _with_ranges(rows, "doc_id", "text", length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, "text"):
@@ -471,7 +543,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """``docs`` with repeated bytes cut out of the text; what a cut leaves of a character goes too."""
     schema = docs.schema
-    ranged, name = _with_ranges(docs, id_col, removed(docs, id_col, text_col, length))
+    ranged, name = _with_ranges(docs, id_col, text_col, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, text_col):
