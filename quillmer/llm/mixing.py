@@ -8,8 +8,8 @@ id and copy number and sorted by it within each: the order by ``shuffle_key`` is
 
 Defined results: a null source is a source; a null id hashes as the word null; rows of one id are repeated alike; a
 null or empty text has no bytes, and a source without any bytes gets rate 0; sources without a given weight get 0;
-an empty table gives an empty result.  All columns are kept; ``rate``, ``replica`` and ``shuffle_key`` are added and
-replace columns of these names.
+an empty table gives an empty result.  All columns are kept; ``rate``, ``replica`` and ``shuffle_key`` are added, and
+columns that have these names (in whatever case) already get underscores at their names' end.
 """
 
 from __future__ import annotations
@@ -55,9 +55,20 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, sourc
     return weighed.select("source", rate.alias("rate")).withColumn("parts", parts).withColumn("mean", mean).select("source", "rate", "parts", grown["cdf"].alias("cdf"))
 
 
+def renamed(docs: DataFrame) -> dict[str, str]:
+    """New names of columns that have a name of :func:`mixed`'s own."""
+    return {c: free_name(docs, c) for c in docs.columns if c.lower() in ("rate", "replica", "shuffle_key")}
+
+
+def replicated(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """:func:`mixed` with the columns of ``docs`` alone."""
+    names = renamed(docs)
+    return mixed(docs, weights, seed, id_col, source_col, text_col).select(*(F.col(f"`{names.get(c, c)}`").alias(c) for c in docs.columns))
+
+
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """``docs`` with each row as often as its source's rate says, in global random order; adds rate, replica, shuffle_key."""
-    docs = docs.drop("rate", "replica", "shuffle_key")
+    docs = docs.withColumnsRenamed(renamed(docs))
     of, parts_, cdf, n = (free_name(docs, x) for x in ("source_of_rate", "poissons", "distribution", "copies"))
     table = materialize(rates(docs, weights, source_col, text_col), "rates").select(F.col("source").alias(of), "rate", F.col("parts").alias(parts_), F.col("cdf").alias(cdf))
     if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
