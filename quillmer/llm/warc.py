@@ -46,13 +46,12 @@ def with_roles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 
 def chunked(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """The chunk table of :func:`with_roles`: revisits have one empty chunk."""
-    pieces = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.greatest(F.floor((F.col("bytes") - 1) / chunk), F.lit(0)).cast("long")),
-        lambda i: F.substring(F.col("payload"), (i * chunk + 1).cast("int"), F.lit(chunk)),
-    )
-    pieces = F.when(F.col("refers_to").isNull(), pieces).otherwise(F.array(F.lit(b"")))
-    return rows.select("page_id", "url", "bytes", "digest", "refers_to", F.size(pieces).alias("chunks"), F.posexplode(pieces).alias("chunk_no", "data"))
+    """The chunk table of :func:`with_roles`: revisits have one empty chunk.  Chunk numbers are laid out first, then each row cuts its own chunk."""
+    response = F.col("refers_to").isNull()
+    chunks = F.when(response, F.greatest(F.ceil(F.col("bytes") / chunk), F.lit(1))).otherwise(1).cast("int")
+    numbered = rows.withColumn("chunks", chunks).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    data = F.when(response, F.substring("payload", (F.col("chunk_no").cast("long") * chunk + 1).cast("int"), F.lit(chunk))).otherwise(F.lit(b""))
+    return numbered.select("page_id", F.when(F.col("chunk_no") == 0, F.col("url")).alias("url"), "bytes", "digest", "refers_to", "chunks", "chunk_no", data.alias("data"))
 
 
 def _urn(page_id: int | None) -> str:
