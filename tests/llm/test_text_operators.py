@@ -109,6 +109,24 @@ def test_words_by_the_definition(texts):
     assert [found[a:b] for a, b in zip(words.first, words.first[1:], strict=False)] == [WORD.findall(t) for t in texts]
 
 
+def thue_morse(first, second, n=1024):
+    return "".join((first, second)[k.bit_count() & 1] for k in range(n))
+
+
+def test_strings_that_a_polynomial_hash_confuses(spark):
+    """Equality is that of bytes: these two have one hash by any polynomial modulo 2**64."""
+    x, y = thue_morse("a", "b"), thue_morse("b", "a")
+    df = spark.createDataFrame([(0, f"{x}\n{y}\n{x}"), (1, x), (2, y), (4, x)], "doc_id long, text string")
+    rows = by_id(quality.judge(df, np.zeros(1 << 16)).collect())
+    assert [rows[i][0]["n_dup_lines"] for i in (0, 1)] == [1, 0]
+    many = " ".join([*[x] * 5, *[y] * 5])
+    assert quality.judge(spark.createDataFrame([(0, many)], "doc_id long, text string"), np.zeros(1 << 16)).first()["n_repeat_words"] == base(many)[4] == 0
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2][0]
+    trained = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2][0]
+    got = by_id(katz.scores(spark.createDataFrame([(held, y), (trained, x)], "doc_id long, text string")).collect())
+    assert (got[held][0]["n_known"], got[trained][0]["n_known"]) == (1, 2) and got[held][0]["score"] < got[trained][0]["score"]
+
+
 def fingerprint(t):
     w = WORD.findall(t.translate(LOWER))
     h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), 42) for i in range(max(1, len(w) - 3))] if w else []
@@ -134,13 +152,26 @@ def components(nodes, linked):
 def test_simhash(docs, plain, nothing):
     fps = {i: fingerprint(t) for i, t in plain if i is not None}
     expected = components(sorted(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 4)
-    got = {r["doc_id"]: r for r in simhash.near_duplicates(docs).collect()}
-    assert set(got) == set(fps)
+    rows = simhash.near_duplicates(docs).collect()
+    got = {r["doc_id"]: r for r in rows}
+    assert set(got) == {*fps, None} and len(rows) == len(got)
+    no_id = got.pop(None)  # a copy of document 7
+    assert (no_id["fingerprint"], no_id["component_id"]) == (f"{fps[7]:016x}", expected[7])
     for i, r in got.items():
         assert (r["fingerprint"], r["component_id"]) == (f"{fps[i]:016x}", expected[i])
     assert simhash.near_duplicates(nothing).count() == 0
 
 
+def test_simhash_rows_of_one_id_are_one_node(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (9, b), (None, b), (None, c), (None, c), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in simhash.near_duplicates(df).collect())
+    assert got == [(0, 0), (0, 1), (1, 1), (4, 4), (5, 1), (5, 1), (9, 1)]
+    apart = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in simhash.near_duplicates(df, ids_are_nodes=False).collect()}
+    assert sorted(v for (i, _), v in apart.items() if i == 5) == [1, 5]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.binary(min_size=0, max_size=150), min_size=1, max_size=8))
 def test_xxh64_by_the_library(parts):
@@ -151,7 +182,7 @@ def test_xxh64_by_the_library(parts):
 
 
 def test_simhash_links_of_a_large_bucket(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "TILE", 40)
+    monkeypatch.setattr(simhash, "TILE", 40)  # several levels
     rng = np.random.default_rng(1)
     fps = {int(x) for x in rng.integers(0, 1 << 62, 60)}
     for seed in list(fps)[:3]:
@@ -166,6 +197,15 @@ def test_simhash_links_of_a_large_bucket(spark, monkeypatch):
     assert got == expected
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.integers(0, 63), max_size=50), st.integers(2, 4), st.sets(st.integers(0, 63), max_size=4))
+def test_masks_lose_no_link(agreed, keep, differ):
+    have = sum(1 << i for i in agreed)
+    change = sum(1 << i for i in differ - agreed)
+    found = simhash.masks(have, keep)
+    assert all(m & have == have for m in found) and any(not m & change for m in found)
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, x) for x in range(101, 130)] + [(7, 7), (None, 3), (129, 5)]
     got = {r["node"]: r["component"] for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -203,6 +243,40 @@ def test_suffix_dedup(docs, plain, nothing):
     assert suffixes.digests(nothing).count() == 0 and suffixes.deduplicated(docs).columns == docs.columns
 
 
+def test_suffix_dedup_of_null_and_repeated_ids(spark):
+    """Rows of one id, or of none, with different texts lose only what they share with an earlier document."""
+    rng = random.Random(3)
+    p, u, v, w = (bytes(rng.choices(range(97, 123), k=n)).decode() for n in (300, 500, 400, 350))
+    rows = [(3, p), (None, u), (None, p), (None, v + u[:200]), (8, w), (8, v), (8, w), (9, u[100:250] + w)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = defaultdict(list)
+    for r in suffixes.digests(df).collect():
+        got[r["doc_id"], r["n_bytes"]].append(r["n_removed"])
+    assert got[3, 300] == [0] and got[None, 300] == [300]
+    assert got[8, 350] == [0, 0] and got[8, 400] == [0] and got[9, 500] == [350]
+    # document 9 has bytes 100-250 of u, document 8 has v; of the two rows without id that share u[:200] one loses all of it
+    assert (got[None, 500][0], got[None, 600][0]) in {(150, 600), (250, 500)}
+
+
+def test_suffix_dedup_where_one_name_has_much(monkeypatch):
+    """Pieces of one name beyond an array's size are cut again."""
+    monkeypatch.setattr(suffixes, "PART_BYTES", 3000)
+    rng = random.Random(4)
+    shared = "".join(rng.choices("abcdefgh", k=60))
+    texts = ["".join(rng.choices("abc", k=150)) + shared + "".join(rng.choices("abc", k=150)) for _ in range(60)]
+    texts += [texts[k][100:320] for k in range(0, 60, 7)]
+    raw, offsets = common.buffers(pa.array(texts, pa.string()))
+    text, start, windows, name = (np.concatenate(x) for x in zip(*suffixes.pieces(raw, offsets), strict=True))
+    name[:] = 1  # as if all had one gram as their least
+    found = defaultdict(list)
+    for d, a, z in suffixes.settle(raw, start, windows + 99, text, start - offsets[text], name.astype(np.int64), 100):
+        for x in zip(d.tolist(), a.tolist(), z.tolist(), strict=True):
+            found[x[0]] += x[1:]
+    gone = removed_bytes(list(enumerate(texts)), 100)
+    for i, t in enumerate(texts):
+        assert suffixes._kept(t.encode(), found[i])[0] == bytes(c for c, g in zip(t.encode(), gone[i], strict=True) if not g)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.binary(max_size=80) | st.text("ab", max_size=80).map(str.encode) | st.integers(1, 60).map(lambda n: b"abaab" * n))
 def test_suffix_array_by_sorting(data):
@@ -223,7 +297,8 @@ def test_repeats_over_shards_and_tasks(texts, length):
             shards[b.column("shard")[0].as_py()].append(b.column("body")[0].as_py())
     found = defaultdict(list)
     for bodies in shards.values():
-        for d, a, z in zip(*(x.tolist() for x in suffixes.shard_repeats(bodies, length)), strict=True):
+        key, start, end = suffixes.shard_repeats(bodies, length)
+        for d, a, z in zip(key[0].tolist(), start.tolist(), end.tolist(), strict=True):
             found[d] += [a, z]
     for i, t in plain:
         kept, _ = suffixes._kept(t.encode(), found[i])
@@ -238,14 +313,16 @@ def test_segments_of_a_long_text(monkeypatch):
     assert whole == sum(int(n.sum()) for _, _, n, _ in suffixes.pieces(raw, offsets)) == len(text) - 99
 
 
-def test_katz(docs, plain, nothing):
-    words = [(i, WORD.findall(t.translate(LOWER)) + ["</s>"], i is not None and zlib.crc32(str(i).encode()) % 7 == 2) for i, t in plain]
-    uni, bi = Counter(), Counter()
-    for _, w, out in words:
-        if not out:
-            uni.update(w)
-            bi.update(zip(["<s>", *w], w, strict=False))
-    total, distinct = sum(uni.values()), len(uni)
+def katz_by_the_definition(plain, order):
+    """(score, base score, tokens, known) of each text, and the words' number; the recursion as it stands in the docstring."""
+    words = [(WORD.findall(t.translate(LOWER)) + ["</s>"], i is not None and zlib.crc32(str(i).encode()) % 7 == 2) for i, t in plain]
+    grams = [Counter() for _ in range(order + 1)]
+    for w, out in words:
+        for n in range(1, order + 1):
+            padded = ["<s>"] * (n - 1) + w
+            if not out:
+                grams[n].update(tuple(padded[k : k + n]) for k in range(len(w)))
+    total = sum(grams[1].values())
 
     def discount(counts):
         n, out = Counter(counts.values()), {}
@@ -256,34 +333,52 @@ def test_katz(docs, plain, nothing):
                 out[r] = x
         return out
 
-    du, db = discount(uni), discount(bi)
-    bottom = total + (0 if any(r <= 5 for r in uni.values()) else 1)
-    pu = {w: du.get(r, 1) * r / bottom for w, r in uni.items()}
-    unseen = 1 - sum(pu.values())
+    d = [discount(g) for g in grams]
     context = defaultdict(dict)
-    for (u, w), r in bi.items():
-        context[u][w] = r
-
-    def probability(u, w):
-        seen = context.get(u)
-        if not seen:
+    for g in grams[2:]:
+        for x, r in g.items():
+            context[x[:-1]][x[-1]] = r
+    bottom = total + (0 if any(r <= 5 for r in grams[1].values()) else 1)
+    pu = {w: d[1].get(r, 1) * r / bottom for (w,), r in grams[1].items()}
+    unseen, weights = 1 - sum(pu.values()), {}
+
+    def probability(h, w):
+        if not h:
             return pu.get(w, unseen)
+        seen = context.get(h)
+        if not seen:
+            return probability(h[1:], w)
+        n = len(h) + 1
         below = sum(seen.values()) + (0 if any(r <= 5 for r in seen.values()) else 1)
         if w in seen:
-            return db.get(seen[w], 1) * seen[w] / below
-        return (1 - sum(db.get(r, 1) * r for r in seen.values()) / below) / (1 - sum(pu[x] for x in seen)) * pu.get(w, unseen)
+            return d[n].get(seen[w], 1) * seen[w] / below
+        if h not in weights:
+            weights[h] = (1 - sum(d[n].get(r, 1) * r for r in seen.values()) / below) / (1 - sum(probability(h[1:], x) for x in seen))
+        return weights[h] * probability(h[1:], w)
+
+    for h in sorted(context, key=lambda h: (-len(h), h))[:12]:
+        assert sum(probability(h, w) for (w,) in [*grams[1], ("never seen",)]) == pytest.approx(1)
+    out = []
+    for w, held in words:
+        padded = ["<s>"] * (order - 1) + w
+        score = sum(math.log10(probability(tuple(padded[k : k + order - 1]), x)) for k, x in enumerate(w))
+        base_score = sum(math.log10((grams[1][x,] + 1) / (total + len(grams[1]) + 1)) for x in w)
+        out.append((held, len(w), sum(grams[1][x,] > 0 for x in w), total, base_score, score))
+    return out
+
 
-    for u in list(context)[:5]:
-        assert sum(probability(u, w) for w in [*uni, "never seen"]) == pytest.approx(1)
-    got = by_id(katz.scores(docs).collect())
+@pytest.mark.parametrize(("order", "heavy"), [(3, katz.HEAVY), (3, 3), (2, 5), (1, 9), (4, katz.HEAVY)])
+def test_katz(docs, plain, nothing, monkeypatch, order, heavy):
+    monkeypatch.setattr(katz, "HEAVY", heavy)
+    monkeypatch.setattr(katz, "CHUNK_BYTES", 4000 if heavy == 3 else katz.CHUNK_BYTES)
+    got = by_id(katz.scores(docs, order=order).collect())
     assert sum(map(len, got.values())) == len(plain)
-    for i, w, out in words:
-        score = sum(math.log10(probability(u, x)) for u, x in zip(["<s>", *w], w, strict=False))
-        plain_score = sum(math.log10((uni[x] + 1) / (total + distinct + 1)) for x in w)
-        r = next(r for r in got[i] if r["n_tokens"] == len(w))
-        assert (r["held_out"], r["n_known"], r["train_tokens"]) == (out, sum(uni[x] > 0 for x in w), total)
-        assert r["score"] == pytest.approx(score, rel=1e-8) and r["base_score"] == pytest.approx(plain_score, rel=1e-9)
-    assert katz.scores(nothing).count() == 0
+    for (i, _), expected in zip(plain, katz_by_the_definition(plain, order), strict=True):
+        r = next(r for r in got[i] if r["n_tokens"] == expected[1])
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == expected[:4]
+        assert r["base_score"] == pytest.approx(expected[4], rel=1e-9) and r["score"] == pytest.approx(expected[5], rel=1e-8)
+    if order == 3:
+        assert katz.scores(nothing).count() == 0
 
 
 def test_mixing(docs, plain, nothing):
@@ -320,6 +415,14 @@ def test_mixing(docs, plain, nothing):
     assert table["s1"]["rate"] == 0 and sum((r["rate"] or 0) * size[s] for s, r in table.items()) == pytest.approx(sum(size.values()), rel=0.01)
 
 
+def test_mixing_keeps_columns_of_its_own_names(spark):
+    df = spark.createDataFrame([(i, "text", "s", 0.5, "mine") for i in range(20)], "doc_id long, text string, source string, rate double, Replica string")
+    out = mixing.mixed(df)
+    assert out.columns == ["doc_id", "text", "source", "rate_", "Replica_", "rate", "replica", "shuffle_key"]
+    back = mixing.replicated(df)
+    assert back.columns == df.columns and {(r["rate"], r["Replica"]) for r in back.collect()} == {(0.5, "mine")}
+
+
 def test_mixing_of_large_rates(spark):
     rows = [(i, "x" * 1000, "big") for i in range(200)] + [(1000, "y", "tiny")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -445,3 +548,73 @@ def test_license_spans_with_changes(spark):
     r = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
     assert len(r) == 1 and r[0]["license"] == "isc-permission" and 0.9 < r[0]["coverage"] < 1
     assert text[r[0]["start_char"] : r[0]["end_char"]] == r[0]["matched_text"] and r[0]["matched_text"].startswith("Permission")
+
+
+NEAR_MISSES = {
+    "This work is licensed under the GNU Lesser General Public License, version 2.1.": "lgpl-2.1-line",
+    "This work is licensed under the GNU Affero General Public License, version 3.": "agpl-3.0-line",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "cc-by-nc-4.0-work",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.": None,
+    "Licensed under CC BY-NC-SA 4.0.": "cc-by-nc-sa-4.0-line",
+    "Licensed under CC BY-NC-ND 4.0.": None,
+    "Licensed under the GNU General Public License, version 3.": "gpl-3.0-licensed",
+    "Licensed under the BSD 4-Clause License.": None,
+    "Licensed under CC BY 3.0.": None,
+    "Licensed under the Apache License, Version 1.1.": None,
+    "Licensed under the Apache License, Version 2.": "apache-2.0-line",
+    "Released under a MIT License.": "mit-line",
+    "Released under the BSD License.": None,
+    "This work is licensed under the GNU General Public License, version 2.0, see below": "gpl-2.0-line",
+    "This work is licensed under the GNU General Public License, version 4.": None,
+}
+
+
+def test_licenses_of_like_wording(spark):
+    texts = list(NEAR_MISSES)
+    rows = licenses.scan(spark.createDataFrame([(i, f"Intro text here. {t} And more.") for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    got = defaultdict(list)
+    for r in rows:
+        got[r["doc_id"]].append(r["license"])
+    assert {t: got[i] for i, t in enumerate(texts)} == {t: [x] if x else [] for t, x in NEAR_MISSES.items()}
+
+
+def scanned(text, templates, coverage=licenses.COVERAGE):
+    """All templates against all of a text, without index, candidates or band: names of the occurrences that stay."""
+    index = licenses.Index(templates)
+    _, code, distinct = licenses.terms(pa.array([text]))
+    own = {t: i for i, t in enumerate(index.vocabulary.to_pylist())}
+    term = [own.get(t, -2 if t[:1].isdigit() else -1) for t in np.array(distinct.to_pylist(), object)[code]] if len(code) else []
+    found = []
+    for o, t in enumerate(index.terms):
+        begin = 0
+        while begin < len(term):  # the best occurrence, then what follows it
+            pairs = licenses.align(t.tolist(), term[begin:], -len(t), len(term))
+            if len(pairs) < coverage * len(t):
+                break
+            a, z = begin + pairs[0][1], begin + pairs[-1][1]
+            matched = {begin + j for _, j in pairs}
+            odd = [term[j] for j in range(a, z + 1) if j not in matched]
+            telling = index.telling[o]
+            numbers = index.number_like[t[telling]].any()
+            if {i for i, _ in pairs} >= set(np.flatnonzero(telling).tolist()) and not any((x >= 0 and (index.rival[x] or numbers and index.number_like[x])) or (x == -2 and numbers) for x in odd):
+                found.append((a, z, len(pairs), len(t), o))
+            begin = z + 1
+    return [(index.names[o], n) for _, _, n, _, o in licenses.settled(found)]
+
+
+def test_licenses_by_a_scan_of_everything(spark):
+    rng = random.Random(5)
+    texts = []
+    for name, notice in licenses.TEMPLATES.items():
+        words = re.sub("[{}]", "", notice).split()
+        for rate in (0.0, 0.04, 0.1):
+            edited = [w if rng.random() >= rate else rng.choice(["", "other", "words"]) for w in words]
+            texts.append((name, "Some words before it of the. " + " ".join(w for w in edited if w) + " And words after."))
+    rows = licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string").repartition(4)).orderBy("doc_id", "start_char").collect()
+    got = defaultdict(list)
+    for r in rows:
+        got[r["doc_id"]].append((r["license"], r["matched_terms"]))
+    for i, (name, t) in enumerate(texts):
+        assert got[i] == scanned(t, licenses.TEMPLATES), t
+        if i % 3 == 0:
+            assert got[i][0][0] == name
