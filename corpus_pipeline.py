@@ -25,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the rows of the document of smallest id."""
     name = free_name(docs, "fingerprint")
-    groups = simhash.near_duplicates(docs).withColumnRenamed("fingerprint", name)
+    groups = simhash.near_duplicates(docs, ids_are_nodes=False).withColumnRenamed("fingerprint", name)
     gone = materialize(groups.where("doc_id <> component_id").select("doc_id", name), "near-duplicates")
     return without(simhash.marked(docs, name), gone, ["doc_id", name]).drop(name)
 
@@ -38,7 +38,7 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def poisson_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to the sources' target weights, in random order."""
-    return mixing.mixed(docs).select(*docs.columns)
+    return mixing.replicated(docs)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
