@@ -17,7 +17,7 @@ from .functions import kmers, stats
 from .functions.kmers import _LOWER, _UPPER, COMPLEMENTS
 from .operators import compare, find, info, screen, sketch, taxonomy
 from .params import AMINO_ACIDS, SketchParams
-from .plans import shared_folder
+from .plans import shared_folder, written
 from .sources import sequences, store
 
 LETTERS = _UPPER + " "
@@ -108,7 +108,7 @@ def sketches(seqs: DataFrame, p: SketchParams) -> DataFrame:
     size = F.octet_length("seq").cast("long")
     meta = seqs.groupBy("ref_idx").agg(F.sum(F.when(size >= p.kmer, size).otherwise(0)).alias("length"))
     meta = meta.select("ref_idx", F.concat(F.lit("ref"), F.col("ref_idx")).alias("name"), F.lit("").alias("comment"), F.coalesce("length", F.lit(0)).alias("length"))
-    return sketch.nested(sketch.postings(seqs.select("ref_idx", "seq"), p), meta).persist()
+    return written(sketch.nested(sketch.postings(seqs.select("ref_idx", "seq"), p), meta), "sketches")
 
 
 def sql_distance(k: int) -> str:
@@ -283,7 +283,8 @@ def tax_lca(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _report(spark: SparkSession, d: str, mixture: DataFrame) -> DataFrame:
-    taxa = taxonomy.taxon_counts(_lca(spark, d), screen.mixture_counts(mixture, DNA))
+    counts = screen.mixture_counts(mixture, DNA, refs=sketches(customers(spark, d), DNA))
+    taxa = taxonomy.taxon_counts(_lca(spark, d), counts)
     out = taxonomy.report(taxa, taxonomy_nodes(spark, d))
     return out.select("place", "depth", F.round("percent", 6).alias("percent"), "seen", "tax_seen", "hashes", "tax_hashes", "tax_id", "rank", "name")
 

@@ -5,6 +5,7 @@ Hashes are longs that sort as the unsigned values do: 64-bit ones are stored wit
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ _ADD1, _ADD2 = np.uint64(0x52DCE729), np.uint64(0x38495AB5)
 
 #: Sequence bytes handled at once.
 BLOCK = 1 << 20
+#: Hashes that a task holds before it counts them.
+HELD = 4 << 20
 
 
 def _rot(x: np.ndarray, r: int) -> np.ndarray:
@@ -82,6 +85,15 @@ def md5_60(kmer: Column) -> Column:
     return F.conv(F.substring(F.md5(kmer), 1, 15), 16, 10).cast("long")
 
 
+def md5_60_of(both: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """:func:`md5_60` of each ``both[start:start + k]``; each distinct one is digested once."""
+    windows = np.lib.stride_tricks.sliding_window_view(both, k)[starts]
+    coded = pa.FixedSizeBinaryArray.from_buffers(pa.binary(k), len(starts), [None, pa.py_buffer(np.ascontiguousarray(windows))]).dictionary_encode()
+    md5 = hashlib.md5
+    digests = b"".join([md5(x).digest()[:8] for x in coded.dictionary.to_pylist()])
+    return (np.frombuffer(digests, ">u8").astype(np.uint64) >> np.uint64(4)).astype(np.int64)[coded.indices.to_numpy()]
+
+
 def _complement_table() -> np.ndarray:
     table = np.full(256, ord("N"), np.uint8)
     for a, b in zip(_UPPER, COMPLEMENTS, strict=True):
@@ -119,8 +131,10 @@ class KmerHasher:
         """Stored hashes of the windows of ``raw`` (folded already) at ``at``."""
         k = self.params.kmer
         spare = np.zeros(8, np.uint8)
+        if not len(at):
+            return np.zeros(0, np.int64)
         if not self.params.canonical:
-            return encode(murmur3_low64(np.concatenate([raw, spare]), at, k, self.params.seed), self.params)
+            return self._of(np.concatenate([raw, spare]), at)
         n = len(raw)
         both = np.concatenate([raw, self.complement[raw][::-1], spare])
         back = 2 * n - k - at
@@ -134,7 +148,11 @@ class KmerHasher:
                 x, y = x >> drop, y >> drop
             less |= open_ & (y < x)
             open_ &= x == y
-        return encode(murmur3_low64(both, np.where(less, back, at), k, self.params.seed), self.params)
+        return self._of(both, np.where(less, back, at))
+
+    def _of(self, both: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        p = self.params
+        return md5_60_of(both, starts, p.kmer) if p.hash_fn == "md5_60" else encode(murmur3_low64(both, starts, p.kmer, p.seed), p)
 
     def each(self, seqs: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
         """(row, hashes) in pieces: short sequences together, a long one block by block."""
@@ -169,48 +187,80 @@ class KmerHasher:
             yield from joined()
 
 
-def hashed(df: DataFrame, group: str, seq: str, params: SketchParams) -> DataFrame:
-    """(group, hash, count): k-mer hashes of ``seq``, counted within each batch; a group may still have several rows for a hash.
+class Tally:
+    """(group, hash, count) of a task, each pair once as far as they are held together.
 
-    The counting before the shuffle is what keeps read sets and repeated text small.
+    With a ``limit`` of each group only so many smallest hashes are kept: a hash among the smallest of a group is among the
+    smallest of every part of it that has the hash, so those that stay at last, and their counts, are exact.
+    Hashes of ``wanted`` (sorted) stay in any case.
     """
-    if params.hash_fn == "md5_60":
+
+    def __init__(self, limit: int | None = None, wanted: np.ndarray | None = None) -> None:
+        self.limit, self.wanted = limit, wanted
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, group: np.ndarray, h: np.ndarray, count: np.ndarray | None = None) -> None:
+        self.held.append((group, h, np.ones(len(h), np.int64) if count is None else count))
+        self.size += len(h)
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        group, h, count = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.lexsort((h, group))
+        group, h = group[order], h[order]
+        head = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (h[1:] != h[:-1])))
+        count = np.add.reduceat(count[order], head)
+        group, h = group[head], h[head]
+        if self.limit is not None:
+            first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            keep = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h)))) < self.limit
+            if self.wanted is not None and len(self.wanted):
+                keep |= self.wanted[np.minimum(np.searchsorted(self.wanted, h), len(self.wanted) - 1)] == h
+            group, h, count = group[keep], h[keep], count[keep]
+        self.held, self.size = [(group, h, count)], len(h)
+        return self.held[0]
+
+
+def hashed(df: DataFrame, group: str, seq: str, params: SketchParams, limit: int | None = None, wanted=None) -> DataFrame:
+    """(group, hash, count): k-mer hashes of ``seq``, counted within each task; a group may still have several rows for a hash.
+
+    ``limit``: only so many smallest hashes of each group leave a task; with ``wanted``, a broadcast sorted array, those too that it holds.
+    """
+    if params.hash_fn == "md5_60" and df.isStreaming:  # a stream is aggregated once, by whoever asks
         from .kmers import with_kmers
 
         rows = with_kmers(df.select(F.col(group).alias("grp"), F.col(seq).alias("seq")), "seq", params)
-        if df.isStreaming:  # a stream is aggregated once, by whoever asks
-            return rows.select(F.col("grp").alias(group), md5_60(F.col("kmer")).alias("hash"), F.lit(1).cast("long").alias("count"))
-        return rows.groupBy("grp", "kmer").agg(F.count("*").alias("count")).select(F.col("grp").alias(group), md5_60(F.col("kmer")).alias("hash"), "count")
+        return rows.select(F.col("grp").alias(group), md5_60(F.col("kmer")).alias("hash"), F.lit(1).cast("long").alias("count"))
     rows = df.select(F.col(group).alias("grp"), F.col(seq).cast("binary").alias("seq")).where("seq is not null")
     kind = df.schema[group].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = KmerHasher(params)
-        for b in batches:
-            coded = b.column("grp").dictionary_encode()
-            ids = coded.indices
-            owner, hs = [], []
-            keys = ids.fill_null(-1).to_numpy()
-            size = 0
-
-            def counted() -> pa.RecordBatch:
-                g = np.concatenate([np.full(len(h), o) for o, h in zip(owner, hs, strict=True)])
-                h = np.concatenate(hs)
-                order = np.lexsort((h, g))
-                g, h = g[order], h[order]
-                head = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (h[1:] != h[:-1])))
-                name = pa.array(np.maximum(g[head], 0), pa.int32(), mask=g[head] < 0)
-                return pa.RecordBatch.from_arrays([coded.dictionary.take(name), pa.array(h[head]), pa.array(np.diff(np.append(head, len(h))))], [group, "hash", "count"])
+        names: dict = {}  # a group's value -> its number in this task
+        tally = Tally(limit, wanted.value if wanted is not None else None)
 
+        def told() -> Iterator[pa.RecordBatch]:
+            g, h, count = tally.merged()
+            values = pa.array(list(names), arrow_kind)
+            for a in range(0, len(h), 1 << 16):
+                part = slice(a, a + (1 << 16))
+                yield pa.RecordBatch.from_arrays([values.take(pa.array(g[part])), pa.array(h[part]), pa.array(count[part])], [group, "hash", "count"])
+
+        arrow_kind = None
+        for b in batches:
+            arrow_kind = b.column("grp").type
+            coded = b.column("grp").dictionary_encode(null_encoding="encode")
+            number = np.array([names.setdefault(x, len(names)) for x in coded.dictionary.to_pylist()], np.int64)
+            keys = number[coded.indices.to_numpy()]
             for row, h in tool.each([s or b"" for s in b.column("seq").to_pylist()]):
-                owner.append(keys[row])
-                hs.append(h)
-                size += len(h)
-                if size > 4 * BLOCK:
-                    yield counted()
-                    owner, hs, size = [], [], 0
-            if hs:
-                yield counted()
+                tally.add(np.full(len(h), keys[row]), h)
+                if tally.size > HELD:
+                    tally.merged()
+                    if tally.size > HELD // 2:
+                        yield from told()
+                        tally.held, tally.size = [], 0
+        if tally.held:
+            yield from told()
 
     schema = T.StructType([T.StructField(group, kind), T.StructField("hash", T.LongType()), T.StructField("count", T.LongType())])
     return rows.mapInArrow(run, schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,15 +10,30 @@ from ..functions.hashing import hashed
 from ..functions.kmers import is_protein, translated
 from ..functions.stats import identity, within_p_value
 from ..params import SketchParams
+from ..plans import written
 from .sketch import exploded
 
 
-def mixture_counts(mixture: DataFrame, params: SketchParams, seq: str = "seq") -> DataFrame:
-    """(hash, count) of all k-mers of the mixture; nucleotides are read in six frames if the parameters are for protein."""
+#: References' hashes that are sent to every task (8 bytes each); beyond it, all of the mixture's k-mers are shuffled.
+WANTED_HASHES = 4 << 20
+
+
+def mixture_counts(mixture: DataFrame, params: SketchParams, seq: str = "seq", refs: DataFrame | None = None) -> DataFrame:
+    """(hash, count) of all k-mers of the mixture; nucleotides are read in six frames if the parameters are for protein.
+
+    With ``refs`` only of those k-mers that a reference's sketch holds, and of the mixture's own smallest hashes, which
+    tell its size: tasks drop all others before the shuffle.
+    """
     rows = mixture.select(F.lit(0).alias("grp"), F.col(seq).alias("seq"))
     if is_protein(params):
         rows = translated(rows, "seq")
-    return hashed(rows, "grp", "seq", params).groupBy("hash").agg(F.sum("count").alias("count"))
+    limit, wanted = None, None
+    if refs is not None and not mixture.isStreaming:
+        n = refs.agg(F.sum("n")).first()[0] or 0
+        if n <= WANTED_HASHES:
+            hashes = refs.select(F.explode("hashes").alias("hash")).distinct().toArrow()["hash"].to_numpy()
+            limit, wanted = params.sketch_size, mixture.sparkSession.sparkContext.broadcast(np.sort(hashes))
+    return hashed(rows, "grp", "seq", params, limit, wanted).groupBy("hash").agg(F.sum("count").alias("count"))
 
 
 def set_size(counts: DataFrame, params: SketchParams) -> float:
@@ -44,10 +60,10 @@ def screen(refs: DataFrame, mixture: DataFrame, params: SketchParams, winner_tak
     """ref_idx, name, comment, identity, shared, size, median_multiplicity (upper), p_value.
 
     References without a shared hash are left out unless ``min_identity`` is negative.  The counts, which are needed
-    twice, are kept in memory or on disk of the executors and recomputed where lost; pass ``counts`` to reuse others.
+    twice, are written below the shared folder; pass ``counts`` to reuse others.
     """
     if counts is None:
-        counts = mixture_counts(mixture, params, seq).persist()
+        counts = written(mixture_counts(mixture, params, seq, refs), "mixture")
     size = set_size(counts, params)
     seen = seen_postings(refs, counts)
     if winner_takes_all:

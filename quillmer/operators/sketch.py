@@ -19,16 +19,17 @@ from ..params import SketchParams
 SKETCH_SCHEMA = "ref_idx long, name string, comment string, length long, n long, max_hash long, hashes array<long>, counts array<long>"
 
 
-def hash_counts(seqs: DataFrame, params: SketchParams, group: str = "ref_idx", seq: str = "seq") -> DataFrame:
-    """(group, hash, count) over all k-mers, each hash once."""
-    return hashed(seqs, group, seq, params).groupBy(group, "hash").agg(F.sum("count").alias("count"))
+def hash_counts(seqs: DataFrame, params: SketchParams, group: str = "ref_idx", seq: str = "seq", limit: int | None = None) -> DataFrame:
+    """(group, hash, count) over all k-mers, each hash once; with a ``limit`` at least so many smallest of each group."""
+    return hashed(seqs, group, seq, params, limit).groupBy(group, "hash").agg(F.sum("count").alias("count"))
 
 
 def bottom(counts: DataFrame, params: SketchParams, group: str = "ref_idx") -> DataFrame:
     """Postings: of each group the ``sketch_size`` smallest hashes seen ``min_copies`` times or more, ranked from 1.
 
     The row number's limit is applied before and after the shuffle by group, so no task gets more than
-    ``sketch_size`` rows of a group from each task before.
+    ``sketch_size`` rows of a group from each task before.  Counts come by group and hash, so that a group with many
+    sequences is spread over tasks until then.
     """
     if params.min_copies > 1:
         counts = counts.where(F.col("count") >= params.min_copies)
@@ -37,8 +38,13 @@ def bottom(counts: DataFrame, params: SketchParams, group: str = "ref_idx") -> D
 
 
 def postings(seqs: DataFrame, params: SketchParams, group: str = "ref_idx", seq: str = "seq") -> DataFrame:
-    """Postings of ``seqs(group, seq)``; records shorter than a k-mer add nothing."""
-    return bottom(hash_counts(seqs, params, group, seq), params, group)
+    """Postings of ``seqs(group, seq)``; records shorter than a k-mer add nothing.
+
+    Unless rare k-mers have to be left out, which only the whole count tells, tasks keep each group's smallest hashes
+    before the first shuffle.
+    """
+    limit = params.sketch_size if params.min_copies == 1 else None
+    return bottom(hash_counts(seqs, params, group, seq, limit), params, group)
 
 
 def record_comments(records: DataFrame, params: SketchParams) -> DataFrame:
