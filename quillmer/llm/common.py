@@ -307,18 +307,26 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return labels
 
 
-#: Rows of a table that may be broadcast; larger ones are joined by salted keys.
+#: Rows of a table that may be broadcast, and bytes of their values as text; larger ones are joined by salted keys.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32 << 20
 SALTS = 32
 
 
+def is_small(table: DataFrame) -> bool:
+    """Both bounds, measured."""
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in table.columns), F.lit(8))
+    got = table.limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("n"), F.sum(width).alias("size")).first()
+    return got["n"] <= BROADCAST_ROWS and (got["size"] or 0) <= BROADCAST_BYTES
+
+
 def attach(rows: DataFrame, table: DataFrame, key: str, salt: str) -> DataFrame:
     """``rows`` left join ``table`` on ``key``, of which ``table`` has each value once.
 
-    A table of at most ``BROADCAST_ROWS`` short rows is broadcast.  Beyond that both sides are dealt by key and salt,
+    A table within ``BROADCAST_ROWS`` and ``BROADCAST_BYTES`` is broadcast.  Beyond that both sides are dealt by key and salt,
     so that a key with many rows is spread over ``SALTS`` tasks; ``salt`` names a column of ``rows`` that varies.
     """
-    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if is_small(table):
         return rows.join(F.broadcast(table), key, "left")
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
     right = table.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
@@ -327,7 +335,7 @@ def attach(rows: DataFrame, table: DataFrame, key: str, salt: str) -> DataFrame:
 
 def without(rows: DataFrame, gone: DataFrame, key: str | list[str]) -> DataFrame:
     """``rows`` whose key, of one column or several, isn't in ``gone(key)``; rows with a null key stay."""
-    if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if is_small(gone):
         gone = F.broadcast(gone)
     return rows.join(gone, key, "left_anti").select(*rows.columns)
 

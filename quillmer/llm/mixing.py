@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, free_name, materialize
+from .common import free_name, is_small, materialize
 
 SEED = 17
 #: Weights are in proportion to size ** (1 / TEMPERATURE) unless given.
@@ -71,7 +71,7 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, seed:
     docs = docs.withColumnsRenamed(renamed(docs))
     of, parts_, cdf, n = (free_name(docs, x) for x in ("source_of_rate", "poissons", "distribution", "copies"))
     table = materialize(rates(docs, weights, source_col, text_col), "rates").select(F.col("source").alias(of), "rate", F.col("parts").alias(parts_), F.col("cdf").alias(cdf))
-    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if is_small(table):
         table = F.broadcast(table)
     rows = docs.join(table, F.col(f"`{source_col}`").eqNullSafe(F.col(of)))
     name = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))

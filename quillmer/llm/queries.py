@@ -78,6 +78,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL of those queries that SQL can express.
 ORACLES: dict[str, str] = {
+    "op2_embedding_near_dedup": """
+        WITH RECURSIVE g AS (
+            SELECT vec_id, min(CASE WHEN len(e) > 0 AND NOT list_bool_or(list_transform(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) AND list_bool_or(list_transform(e, lambda x: x <> 0)) THEN e END) AS e
+            FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) GROUP BY vec_id
+        ),
+        l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+        r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a),
+        c AS (SELECT a, least(a, min(b)) AS c FROM r GROUP BY a)
+        SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(c, vec_id) AS component_id, vec_id = coalesce(c, vec_id) AS kept
+        FROM g LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
+    """,
+    "op10_suffix_array_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+        w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(n - 99)) AS p FROM d)),
+        again AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM w) WHERE k > 1),
+        runs AS (SELECT doc_id, p, sum(head) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS head FROM again)),
+        gone AS (SELECT doc_id, run, min(p) AS a, max(p) + 100 AS z FROM runs GROUP BY doc_id, run),
+        kept AS (
+            SELECT doc_id, z AS a, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY a), 1000000000::BIGINT) AS z FROM gone
+            UNION ALL SELECT doc_id, 0, coalesce(a, 1000000000::BIGINT) FROM d LEFT JOIN (SELECT doc_id, min(a) AS a FROM gone GROUP BY doc_id) USING (doc_id)
+        ),
+        cut AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (z - a)), '' ORDER BY a) AS h FROM kept JOIN d USING (doc_id) GROUP BY doc_id),
+        g AS (SELECT doc_id, count(*) AS n_spans, sum(z - a)::BIGINT AS n_removed FROM gone GROUP BY doc_id)
+        SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(cut.h)) AS kept_sha256
+        FROM d JOIN cut USING (doc_id) LEFT JOIN g USING (doc_id)
+    """,
     "op4_poisson_mixing": mixing.ORACLE,
     "op7_warc": """
         WITH d AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n, sha1(coalesce(html, '')) AS h FROM pages),

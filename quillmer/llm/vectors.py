@@ -13,7 +13,7 @@ hash where there are more than ``LEAF_ROWS`` rows for each.
 A task returns numbers of links and a spanning forest, never pairs.  Equal vectors are one node throughout.
 
 Defined results: a vector that is null, empty, zero or has a null or non-finite component links with nothing, and
-vectors of unlike length don't link; rows of one id are one vector, the smallest array of them; a null id links with
+vectors of unlike length don't link; rows of one id are one vector, the smallest usable array of them; a null id links with
 nothing, is its own component (null) and is kept; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -30,6 +30,8 @@ from .common import Forest, attach, connected_components, materialize, pick, thr
 
 THRESHOLD = 0.9
 SAMPLE = 20_000
+#: Bytes of it that the driver takes, as doubles: wider vectors give a smaller sample.
+SAMPLE_BYTES = 128 << 20
 LEAF_ROWS = 8192
 TILE = 1024
 #: Dimensions added before each look at the bound; the rest follows at once.
@@ -52,17 +54,20 @@ class Axes:
         tree: list[tuple] = []
         self.tree = tree
         node_of_box = [None]
+        whole: set[int] = set()  # boxes that no dimension's median splits
         while len(boxes) < leaves:
-            at = max(range(len(boxes)), key=lambda i: len(boxes[i][2]))
-            low, high, rows = boxes[at]
-            if len(rows) < 16:
-                break
-            spread = np.ptp(lead[rows], axis=0)
-            d = int(spread.argmax())
-            cut = float(np.median(lead[rows, d]))
-            left = rows[lead[rows, d] < cut]
-            if not len(left) or len(left) == len(rows):
+            at = max((i for i in range(len(boxes)) if i not in whole and len(boxes[i][2]) >= 16), key=lambda i: len(boxes[i][2]), default=None)
+            if at is None:
                 break
+            low, high, rows = boxes[at]
+            for d in np.argsort(-np.ptp(lead[rows], axis=0), kind="stable").tolist():
+                cut = float(np.median(lead[rows, d]))
+                left = rows[lead[rows, d] < cut]
+                if 0 < len(left) < len(rows):
+                    break
+            else:
+                whole.add(at)
+                continue
             node = len(tree)
             tree.append([d, cut, at, len(boxes)])  # leaves, until they are split
             if node_of_box[at] is not None:
@@ -150,11 +155,11 @@ def links(a: np.ndarray, b: np.ndarray, axes: np.ndarray, same: bool, threshold:
 def prepared(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame]:
     """(vec_id, v) with v null where the vector can't link, and the distinct vectors (rep, n, v)."""
     rows = pick(vectors, vec_id=id_col, v=vector_col)
-    one = rows.where("vec_id is not null").groupBy("vec_id").agg(F.min("v").alias("v"))
-    none = rows.where("vec_id is null").select("vec_id", F.lit(None).cast(rows.schema["v"].dataType).alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     able = F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0)
-    rows = materialize(one.unionByName(none).withColumn("v", F.when(able, F.col("v"))), "vectors")
+    one = rows.where("vec_id is not null").withColumn("v", F.when(able, F.col("v"))).groupBy("vec_id").agg(F.min("v").alias("v"))
+    none = rows.where("vec_id is null").select("vec_id", F.lit(None).cast(rows.schema["v"].dataType).alias("v"))
+    rows = materialize(one.unionByName(none), "vectors")
     nodes = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
     return rows, materialize(nodes, "distinct-vectors")
 
@@ -163,13 +168,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """vec_id, n_links, component_id, kept."""
     rows, nodes = prepared(vectors, id_col, vector_col)
     total = nodes.count()
-    sample = nodes.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).toPandas()["v"]
-    by_length: dict[int, list] = {}
-    for v in sample:
-        by_length.setdefault(len(v), []).append(v)
+    widest = nodes.agg(F.max(F.size("v"))).first()[0] or 1
+    sampled = nodes.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(max(16, min(SAMPLE, SAMPLE_BYTES // (8 * widest)))).toArrow().column("v").combine_chunks()
+    by_length: dict[int, np.ndarray] = {}
+    lens = sampled.value_lengths().to_numpy()
+    for d in np.unique(lens).tolist():
+        by_length[d] = sampled.take(pa.array(np.flatnonzero(lens == d))).flatten().to_numpy().astype(np.float64).reshape(-1, d)
     leaves = max(1, min(SAMPLE // 16, -(-total // LEAF_ROWS)))
     cut = max(1, -(-total // (LEAF_ROWS * leaves)))
-    axes = {d: Axes(unit(np.array(v, np.float64)), leaves, threshold) for d, v in by_length.items()}
+    axes = {d: Axes(unit(v), leaves, threshold) for d, v in by_length.items()}
     shared = vectors.sparkSession.sparkContext.broadcast(axes)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
