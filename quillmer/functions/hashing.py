@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..params import SketchParams
+from ..plans import spread
 from .kmers import _UPPER, COMPLEMENTS
 
 # Fixed values of MurmurHash3 x64 128.
@@ -232,6 +233,7 @@ def hashed(df: DataFrame, group: str, seq: str, params: SketchParams, limit: int
         rows = with_kmers(df.select(F.col(group).alias("grp"), F.col(seq).alias("seq")), "seq", params)
         return rows.select(F.col("grp").alias(group), md5_60(F.col("kmer")).alias("hash"), F.lit(1).cast("long").alias("count"))
     rows = df.select(F.col(group).alias("grp"), F.col(seq).cast("binary").alias("seq")).where("seq is not null")
+    rows = rows if df.isStreaming else spread(rows)
     kind = df.schema[group].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import KmerHasher, hashed
 from ..functions.stats import cardinality
 from ..params import SketchParams
+from ..plans import numbered
 
 SKETCH_SCHEMA = "ref_idx long, name string, comment string, length long, n long, max_hash long, hashes array<long>, counts array<long>"
 
@@ -91,9 +92,7 @@ def sketch(records: DataFrame, params: SketchParams) -> DataFrame:
         name = rows.groupBy("ref_idx").agg(F.min("file").alias("file"))
     else:
         long_enough = records.where(F.octet_length("seq") >= params.kmer)
-        keys = long_enough.select("file_idx", "rec_no").distinct()
-        numbered = keys.withColumn("ref_idx", (F.row_number().over(Window.orderBy("file_idx", "rec_no")) - 1).cast("long"))
-        rows = long_enough.join(numbered, ["file_idx", "rec_no"])
+        rows = long_enough.join(numbered(long_enough.select("file_idx", "rec_no").distinct(), "ref_idx"), ["file_idx", "rec_no"])
         meta = rows.select("ref_idx", F.col("name"), "comment", F.octet_length("seq").cast("long").alias("length"))
         return nested(postings(rows, params), meta)
     if params.target_coverage:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 def general(x: Column) -> Column:
     """A double as ``%g`` prints it, also infinities."""
-    magnitude = F.floor(F.log10(F.abs(x))).cast("int")
     rounded = F.format_string("%.5e", x)
     exponent = F.regexp_extract(rounded, r"e([+-]\d+)$", 1).cast("int")
     plain = F.when(exponent == 5, F.format_string("%.0f", x))
@@ -19,7 +18,6 @@ def general(x: Column) -> Column:
     trim = lambda s: F.when(s.contains("."), F.regexp_replace(F.regexp_replace(s, r"0+$", ""), r"\.$", "")).otherwise(s)
     mantissa = trim(F.regexp_extract(rounded, r"^(.*)e", 1))
     scientific = F.concat(mantissa, F.lit("e"), F.regexp_extract(rounded, r"e([+-]\d+)$", 1))
-    del magnitude
     text = F.when((exponent < -4) | (exponent > 5), scientific).otherwise(trim(plain))
     return F.when(x.isNull(), "").when(F.isnan(x), "nan").when(x == math.inf, "inf").when(x == -math.inf, "-inf").when(x == 0, "0").otherwise(text)
 

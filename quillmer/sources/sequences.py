@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..plans import numbered, small, written
+
 RECORDS = "file string, file_idx int, rec_no long, name string, comment string, seq binary, qual binary"
 _BLANK = bytes(b for b in range(256) if not 33 <= b <= 126)
 
@@ -151,13 +153,15 @@ def read_list(spark: SparkSession, *lists: str) -> list[str]:
 
 def from_table(df: DataFrame, seq: str, file: str | None = None, name: str | None = None, comment: str | None = None, order: str | None = None) -> DataFrame:
     """Any table with a text column as records: ``file`` groups rows into files, ``order`` numbers them within."""
-    from pyspark.sql import Window
-
     of = F.col(file).cast("string") if file else F.lit("table")
     rows = df.select(of.alias("file"), (F.col(order) if order else F.monotonically_increasing_id()).alias("_order"), (F.col(name).cast("string") if name else F.lit("")).alias("name"), (F.col(comment).cast("string") if comment else F.lit("")).alias("comment"), F.col(seq).cast("binary").alias("seq"))
-    files = rows.select("file").distinct().withColumn("file_idx", F.row_number().over(Window.orderBy("file")) - 1)
-    numbered = rows.withColumn("rec_no", (F.row_number().over(Window.partitionBy("file").orderBy("_order", "name")) - 1).cast("long"))
-    return numbered.join(files, "file").select("file", "file_idx", "rec_no", "name", "comment", "seq", F.lit(None).cast("binary").alias("qual"))
+    # rows are written once, so that their own numbers hold; then keys only are numbered, never texts
+    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "records")
+    places = numbered(rows.select("file", "_order", "name", "_row"), "_place").select("_row", "_place")
+    files = numbered(rows.select("file").distinct(), "file_idx")
+    first = rows.select("file", "_row").join(places, "_row").groupBy("file").agg(F.min("_place").alias("_first"))
+    out = rows.join(places, "_row").join(small(files.join(first, "file")), "file")
+    return out.select("file", F.col("file_idx").cast("int").alias("file_idx"), (F.col("_place") - F.col("_first")).alias("rec_no"), "name", "comment", "seq", F.lit(None).cast("binary").alias("qual"))
 
 
 def write_fasta(records: DataFrame, path: str) -> None:

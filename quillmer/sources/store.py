@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 import warnings
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.sketch import SKETCH_SCHEMA, truncated
 from ..params import SketchParams
+from ..plans import numbered
 
 SUFFIX = ".sketches"
 
@@ -60,7 +61,9 @@ def union(parts: list[DataFrame]) -> DataFrame:
         out = rows if out is None else out.unionByName(rows)
     if out is None:
         raise ValueError("nothing to join")
-    return out.withColumn("ref_idx", (F.row_number().over(Window.orderBy("_part", "ref_idx")) - 1).cast("long")).drop("_part")
+    places = numbered(out.select("_part", "ref_idx"), "_place")  # keys only; a collection names a sketch once
+    joined = out.join(places, ["_part", "ref_idx"]).withColumn("ref_idx", F.col("_place"))
+    return joined.select(*(c for c in out.columns if c != "_part"))
 
 
 def paste(spark: SparkSession, output: str, paths: list[str], allow_smaller: bool = False) -> SketchParams:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hashed
 from ..operators.sketch import bottom, exploded, hash_counts
 from ..params import SketchParams
+from ..plans import small
 
 
 def sketch_stream(seqs: DataFrame, params: SketchParams, path: str, checkpoint: str, group: str = "ref_idx", seq: str = "seq"):
@@ -44,4 +45,4 @@ def mixture_stream(seqs: DataFrame, refs: DataFrame, params: SketchParams, seq:
     """Streaming (hash, count) of a streaming mixture, of hashes that the references have: state is bounded by the references."""
     known = exploded(refs).select("hash").distinct()
     rows = hashed(seqs.select(F.lit(0).alias("grp"), F.col(seq).alias("seq")), "grp", "seq", params)
-    return rows.join(F.broadcast(known), "hash", "left_semi").groupBy("hash").agg(F.sum("count").alias("count"))
+    return rows.join(small(known), "hash", "left_semi").groupBy("hash").agg(F.sum("count").alias("count"))

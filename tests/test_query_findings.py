@@ -13,7 +13,7 @@ DATA = "/root/testdata"
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_tax_report_of_a_whole_mixture(spark, sf):
     """The report over all suppliers is that of its SQL, which filters no rows."""
-    sql = catalog.ORACLES["tax_report_whole"]
+    sql = catalog.ORACLES["tax_report"]
     assert not re.search(r"suppkey\s*%|custkey\s*%", sql)
     with duckdb.connect() as con:
         for name in ("customer", "supplier", "region", "nation"):
@@ -21,7 +21,7 @@ def test_tax_report_of_a_whole_mixture(spark, sf):
         cursor = con.execute(sql)
         names = [x[0] for x in cursor.description]
         expected = sorted(cursor.fetchall())
-    got = catalog.QUERIES["tax_report_whole"](spark, f"{DATA}/{sf}")
+    got = catalog.QUERIES["tax_report"](spark, f"{DATA}/{sf}")
     assert len(expected) > 10
     assert sorted(map(tuple, got.select(*names).collect())) == expected
 
