@@ -8,7 +8,8 @@ document) covers it; strings are judged on the input and never cross documents.
    one piece of text, on average about 42 windows long; pieces are dealt to shards by name.  Pieces of equal bytes
    (told by Arrow's dictionary, never by a hash) are reduced to the earliest within a task first, then within the
    shard: the others are repeats as a whole.
-2. *Suffix array of a shard*, over pieces whose name other, different pieces share: suffixes are classified as
+2. *Suffix array of a shard*, over pieces that may share a window with other, different pieces (their names are equal,
+   and on one side of the least gram half of a window's other bytes are, by a hash of these; all other pieces can't): suffixes are classified as
    smaller or larger than the next one; the leftmost-smaller (LMS) substrings are sorted by inducing and named, symbol
    by symbol; the order of LMS suffixes with equal names comes from the suffix array of the string of names, made in
    the same way (many names are written as two digits each, so that buckets stay few; names that occur once are left out, but
@@ -59,8 +60,8 @@ _POS_BITS = np.uint64(SEGMENT.bit_length() + 1)
 _POS_MASK = np.uint64((1 << int(_POS_BITS)) - 1)
 
 
-def pieces(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, salt: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(text, start in raw, windows, name) of the pieces of all texts, segment by segment; ``salt`` chooses the hash of grams."""
+def pieces(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, salt: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, start in raw, windows, name, place of the least gram in it) of the pieces of all texts, segment by segment; ``salt`` chooses the hash of grams."""
     salted = mix(np.array([salt], np.uint64)) if salt else np.zeros(1, np.uint64)
     padded = np.concatenate([raw, np.zeros(16, np.uint8)])
     lanes = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
@@ -94,7 +95,7 @@ def pieces(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, salt: int
                 out = np.append(0, np.cumsum(~inside))
                 n = n - (out[heads + n] - out[heads])
             heads, n = heads[ok], n[ok]
-            yield text[heads], begin[heads], n, g[place[heads]]
+            yield text[heads], begin[heads], n, g[place[heads]], place[heads] + at - begin[heads]
         at = to
 
 
@@ -349,12 +350,13 @@ class Outbox:
         self.clear()
 
     def clear(self) -> None:
-        self.raw, self.key, self.doc, self.start, self.pos, self.windows, self.name, self.size, self.docs = [], [], [], [], [], [], [], 0, 0
+        self.raw, self.key, self.doc, self.start, self.pos, self.windows, self.name, self.gram, self.size, self.docs = [], [], [], [], [], [], [], [], 0, 0
 
     def add(self, raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray, marks: tuple[np.ndarray, np.ndarray] | None = None) -> None:
         """``ids`` and two ``marks`` (zero, if not given) make up the documents' names and order."""
         marks = marks or (np.zeros(len(ids), np.int64),) * 2
-        for text, start, windows, name in pieces(raw, offsets, self.length):
+        for text, start, windows, name, gram in pieces(raw, offsets, self.length):
+            self.gram.append(gram)
             self.doc.append(text + self.docs)
             self.start.append(start + self.size)
             self.pos.append(start - offsets[text])
@@ -370,7 +372,7 @@ class Outbox:
             self.clear()
             return
         raw, key = np.concatenate(self.raw), np.concatenate(self.key, axis=1)
-        doc, start, pos, windows, name = (np.concatenate(x) for x in (self.doc, self.start, self.pos, self.windows, self.name))
+        doc, start, pos, windows, name, gram = (np.concatenate(x) for x in (self.doc, self.start, self.pos, self.windows, self.name, self.gram))
         self.clear()
         if not len(doc):
             return
@@ -381,7 +383,7 @@ class Outbox:
         order, first, again = fresh(code, name, doc, pos)
         by_shard = np.argsort(shard[order], kind="stable")
         order, first, again = order[by_shard], first[by_shard], again[by_shard]
-        shard, doc, start, pos, lens, name = (x[order] for x in (shard, doc, start, pos, lens, name))
+        shard, doc, start, pos, lens, name, gram = (x[order] for x in (shard, doc, start, pos, lens, name, gram))
         heads = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
         for a, z in zip(heads, np.append(heads[1:], len(shard)), strict=True):
             f, r = a + np.flatnonzero(first[a:z]), a + np.flatnonzero(again[a:z])
@@ -393,6 +395,7 @@ class Outbox:
                 id=key[0, docs].view(np.uint64),
                 mark1=key[1, docs].view(np.uint64),
                 mark2=key[2, docs].view(np.uint64),
+                gram=gram[f],
                 doc=number[f - a],
                 pos=pos[f],
                 lens=lens[f],
@@ -413,14 +416,33 @@ def ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[:, new], rank
 
 
-def settle(content: np.ndarray, begin: np.ndarray, lens: np.ndarray, doc: np.ndarray, pos: np.ndarray, name: np.ndarray, length: int, cuts: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(doc, start, end) of what goes among the pieces ``content[begin:begin+lens]``."""
+def flank_shared(content: np.ndarray, gram: np.ndarray, size: int, ok: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """Of pieces of equal name, those whose ``size`` bytes from ``gram`` on, where there are so many (``ok``), another piece seems to have too."""
+    at = np.flatnonzero(ok)
+    padded = np.concatenate([content, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(content) + 1,), "<u8", padded, strides=(1,))
+    h = mix(name[at].astype(np.uint64))
+    for k in [*range(0, size - 7, 8), size - 8]:
+        h = mix(h ^ lanes[gram[at] + k])
+    out = np.zeros(len(ok), bool)
+    _, which, many = np.unique(h, return_inverse=True, return_counts=True)
+    out[at] = many[which] > 1
+    return out
+
+
+def settle(content: np.ndarray, begin: np.ndarray, lens: np.ndarray, doc: np.ndarray, pos: np.ndarray, name: np.ndarray, gram: np.ndarray, length: int, cuts: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(doc, start, end) of what goes among the pieces ``content[begin:begin+lens]``, whose least gram is ``gram`` bytes on."""
     whole = int(lens.sum()) == len(content) and bool((begin == np.cumsum(lens) - lens).all())  # the pieces are it, one after another
     code, _ = codes(content if whole else gather(content, begin, lens), lens)
     order, first, again = fresh(code, name, doc, pos)
-    name, doc, pos, lens, begin = (x[order] for x in (name, doc, pos, lens, begin))
+    name, doc, pos, lens, begin, gram = (x[order] for x in (name, doc, pos, lens, begin, gram))
     yield doc[again], pos[again], pos[again] + lens[again]
     f = np.flatnonzero(first)
+    # a window that two pieces share has half of what it holds besides the gram before it or behind it
+    half = (length - GRAM) // 2
+    if half >= 8:
+        place = begin[f] + gram[f]
+        f = f[flank_shared(content, place - half, half, gram[f] >= half, name[f]) | flank_shared(content, place + GRAM, half, gram[f] + GRAM + half <= lens[f], name[f])]
     many = np.bincount(np.cumsum(np.append(False, name[f][1:] != name[f][:-1]))) if len(f) else np.zeros(0, np.int64)
     f = f[np.repeat(many, many) > 1]
     while len(f):
@@ -432,8 +454,8 @@ def settle(content: np.ndarray, begin: np.ndarray, lens: np.ndarray, doc: np.nda
         if lens[part].sum() > PART_BYTES and cuts < CUTS:  # one name
             held = gather(content, begin[part], lens[part])
             offsets = np.append(0, np.cumsum(lens[part]))
-            text, start, windows, names_ = (np.concatenate(x) for x in zip(*pieces(held, offsets, length, cuts + 1), strict=True))
-            yield from settle(held, start, windows + length - 1, doc[part][text], pos[part][text] + start - offsets[text], names_, length, cuts + 1)
+            text, start, windows, names_, gram_ = (np.concatenate(x) for x in zip(*pieces(held, offsets, length, cuts + 1), strict=True))
+            yield from settle(held, start, windows + length - 1, doc[part][text], pos[part][text] + start - offsets[text], names_, gram_, length, cuts + 1)
         else:
             yield repeats(content, begin[part], lens[part], doc[part], pos[part], length)
 
@@ -448,9 +470,9 @@ def shard_repeats(bodies: list[bytes], length: int = LENGTH) -> tuple[np.ndarray
         mine = rank[at : at + x.shape[1]]
         at += x.shape[1]
         g["doc"], g["rdoc"] = mine[g["doc"].astype(np.int64)], mine[g["rdoc"].astype(np.int64)]
-    name, doc, pos, lens, rdoc, rpos, rlens = (np.concatenate([g.pop(k).astype(np.int64) for g in got]) for k in ("name", "doc", "pos", "lens", "rdoc", "rpos", "rlens"))
+    name, gram, doc, pos, lens, rdoc, rpos, rlens = (np.concatenate([g.pop(k).astype(np.int64) for g in got]) for k in ("name", "gram", "doc", "pos", "lens", "rdoc", "rpos", "rlens"))
     content = np.concatenate([g.pop("content") for g in got])
-    out = [(rdoc, rpos, rpos + rlens), *settle(content, np.cumsum(lens) - lens, lens, doc, pos, name, length)]
+    out = [(rdoc, rpos, rpos + rlens), *settle(content, np.cumsum(lens) - lens, lens, doc, pos, name, gram, length)]
     doc, start, end = (np.concatenate([np.asarray(x[i], np.int64) for x in out]) for i in range(3))
     return key[:, doc], start, end
 

@@ -266,10 +266,10 @@ def test_suffix_dedup_where_one_name_has_much(monkeypatch):
     texts = ["".join(rng.choices("abc", k=150)) + shared + "".join(rng.choices("abc", k=150)) for _ in range(60)]
     texts += [texts[k][100:320] for k in range(0, 60, 7)]
     raw, offsets = common.buffers(pa.array(texts, pa.string()))
-    text, start, windows, name = (np.concatenate(x) for x in zip(*suffixes.pieces(raw, offsets), strict=True))
+    text, start, windows, name, gram = (np.concatenate(x) for x in zip(*suffixes.pieces(raw, offsets), strict=True))
     name[:] = 1  # as if all had one gram as their least
     found = defaultdict(list)
-    for d, a, z in suffixes.settle(raw, start, windows + 99, text, start - offsets[text], name.astype(np.int64), 100):
+    for d, a, z in suffixes.settle(raw, start, windows + 99, text, start - offsets[text], name.astype(np.int64), gram, 100):
         for x in zip(d.tolist(), a.tolist(), z.tolist(), strict=True):
             found[x[0]] += x[1:]
     gone = removed_bytes(list(enumerate(texts)), 100)
@@ -308,9 +308,9 @@ def test_repeats_over_shards_and_tasks(texts, length):
 def test_segments_of_a_long_text(monkeypatch):
     text = (prose(30) + PASSAGE + prose(2) + PASSAGE).encode()
     raw, offsets = common.buffers(pa.array([text], pa.binary()))
-    whole = sum(int(n.sum()) for _, _, n, _ in suffixes.pieces(raw, offsets))
+    whole = sum(int(x[2].sum()) for x in suffixes.pieces(raw, offsets))
     monkeypatch.setattr(suffixes, "SEGMENT", 256)
-    assert whole == sum(int(n.sum()) for _, _, n, _ in suffixes.pieces(raw, offsets)) == len(text) - 99
+    assert whole == sum(int(x[2].sum()) for x in suffixes.pieces(raw, offsets)) == len(text) - 99
 
 
 def katz_by_the_definition(plain, order):
