@@ -45,8 +45,7 @@ def test_commands(spark, tmp_path, capsys, monkeypatch):
     (tmp_path / "collections").write_text(f"{made}\n{made}\n")
     assert call("paste", "-l", tmp_path / "listed", tmp_path / "collections") == (0, []) and len(call("info", "-t", f"{tmp_path / 'listed'}.sketches")[1]) == 5
     monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO(f">in put\n{base}\n".encode())))
-    monkeypatch.chdir(tmp_path)
-    assert call("sketch", "-k", 11, "-") == (0, []) and call("info", "-t", "stdin.sketches")[1][1].split("\t")[2:] == ["in", "in put"]
+    assert call("sketch", "-k", 11, "-o", tmp_path / "piped", "-") == (0, []) and call("info", "-t", f"{tmp_path / 'piped'}.sketches")[1][1].split("\t")[2:] == ["in", "in put"]
     assert call("paste", tmp_path / "out", made, made) == (0, []) and len(call("info", "-t", f"{tmp_path / 'out'}.sketches")[1]) == 5
     assert call("dist", "-k", 9, made, a)[0] == 1
     with pytest.raises(SystemExit):
