@@ -138,7 +138,7 @@ def _read(spark: SparkSession, inputs: list[str], params: SketchParams, lists: b
             plain.clear()
 
     for path in paths:
-        if path.rstrip("/").endswith(store.SUFFIX):
+        if store.is_collection(path):
             flush()
             if found := store.load(spark, path, params):
                 parts.append(found[0])
@@ -149,7 +149,7 @@ def _read(spark: SparkSession, inputs: list[str], params: SketchParams, lists: b
 
 
 def _own_params(spark: SparkSession, a: argparse.Namespace, first: str) -> SketchParams:
-    if first.rstrip("/").endswith(store.SUFFIX):
+    if store.is_collection(first):
         store.require_same_options(kmer=a.kmer, noncanonical=a.noncanonical or None, protein=a.protein or None, alphabet=a.alphabet)
         return store.load_params(spark, first)
     return params_of(a)

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,41 +28,80 @@ class SequenceError(ValueError):
     """A record that ends too early, or whose qualities don't match its letters."""
 
 
+class _Cursor:
+    """A stream of bytes, read line by line, taken piece by piece."""
+
+    def __init__(self, stream: io.BufferedIOBase) -> None:
+        self.lines, self.rest = iter(stream), b""
+
+    def _more(self) -> bool:
+        self.rest = self.rest or next(self.lines, b"")
+        return bool(self.rest)
+
+    def until(self, marks: re.Pattern) -> tuple[bytes, bytes]:
+        """Everything up to the first mark, and the mark; an empty one at the end of the stream."""
+        parts = []
+        while self._more():
+            found = marks.search(self.rest)
+            if found:
+                parts.append(self.rest[: found.start()])
+                self.rest = self.rest[found.end() :]
+                return b"".join(parts), found.group()
+            parts.append(self.rest)
+            self.rest = b""
+        return b"".join(parts), b""
+
+    def line(self) -> bytes:
+        self._more()
+        got, self.rest = self.rest, b""
+        return got
+
+    def skip_one(self) -> None:
+        if self._more():
+            self.rest = self.rest[1:]
+
+    def visible(self, n: int) -> bytes:
+        """The next ``n`` visible characters, or what there is."""
+        got = b""
+        while len(got) < n and self._more():
+            here = self.rest.translate(None, _BLANK)
+            if len(got) + len(here) < n:
+                got, self.rest = got + here, b""
+            else:
+                need = n - len(got)
+                at = next(i for i, seen in enumerate(accumulate(33 <= b <= 126 for b in self.rest), 1) if seen == need)
+                got, self.rest = got + here[:need], self.rest[at:]
+        return got
+
+
+_RECORD, _END = re.compile(b"[>@]"), re.compile(b"[>@+]")
+
+
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[str, str, bytes, bytes | None]]:
     """(name, comment, letters, qualities or None) of each record; FASTA and FASTQ may be mixed.
 
-    A record starts at ``>`` or ``@``.  Its name ends at the first white space, the comment with the line.  Letters go
-    on over lines until one starts with ``>``, ``@`` or ``+``; after ``+`` as many qualities follow as there are letters.
+    A record starts at the next ``>`` or ``@``, wherever it stands.  Its name ends at the first white space, the comment
+    with the line.  Letters go on over lines up to the next ``>``, ``@`` or ``+``; behind the line of a ``+`` as many
+    qualities follow as there are letters, and what comes after them is skipped up to the next record.
     """
-    lines = iter(stream)
-    line = next(lines, None)
-    while line is not None:
-        if line[:1] not in (b">", b"@"):
-            line = next(lines, None)
-            continue
-        head = line[1:].rstrip(b"\r\n")
+    src = _Cursor(stream)
+    mark = src.until(_RECORD)[1]
+    while mark:
+        head = src.line().rstrip(b"\r\n")
         cut = next((i for i, b in enumerate(head) if b in b" \t\v\f\r"), len(head))
         name, comment = head[:cut].decode("utf-8", "replace"), head[cut + 1 :].decode("utf-8", "replace")
-        letters = []
-        line = next(lines, None)
-        while line is not None and line[:1] not in (b">", b"@", b"+"):
-            letters.append(line.translate(None, _BLANK))
-            line = next(lines, None)
-        seq = b"".join(letters)
-        if line is None or line[:1] != b"+":
+        letters, mark = src.until(_END)
+        seq = letters.translate(None, _BLANK)
+        if mark != b"+":
             yield name, comment, seq, None
             continue
-        marks, size = [], 0
-        while size < len(seq):
-            line = next(lines, None)
-            if line is None:
-                raise SequenceError(f"record {name!r} ends within its qualities")
-            marks.append(line.translate(None, _BLANK))
-            size += len(marks[-1])
-        if size != len(seq):
-            raise SequenceError(f"record {name!r} has {len(seq)} letters but {size} qualities")
-        yield name, comment, seq, b"".join(marks)
-        line = next(lines, None)
+        src.line()
+        qualities = src.visible(len(seq))
+        if len(qualities) < len(seq):
+            raise SequenceError(f"record {name!r} has {len(seq)} letters but {len(qualities)} qualities")
+        yield name, comment, seq, qualities
+        src.skip_one()  # what ends the qualities belongs to no record
+        mark = src.until(_RECORD)[1]
 
 
 def open_plain(raw: io.BufferedIOBase) -> io.BufferedIOBase:

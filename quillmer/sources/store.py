@@ -1,4 +1,4 @@
-"""Sketch collections on disk: a Parquet table of sketches and one of parameters."""
+"""Sketch collections on disk: a Parquet table of sketches and one of parameters; binary sketch files are read too."""
 
 from __future__ import annotations
 
@@ -11,10 +11,20 @@ from pyspark.sql import functions as F
 from ..operators.sketch import SKETCH_SCHEMA, truncated
 from ..params import SketchParams
 from ..plans import numbered
+from . import binary
 
 SUFFIX = ".sketches"
 
 
+def is_binary(path: str) -> bool:
+    return path.endswith(binary.SUFFIXES)
+
+
+def is_collection(path: str) -> bool:
+    """By its name: a folder that :func:`save` wrote, or a binary sketch file."""
+    return path.rstrip("/").endswith(SUFFIX) or is_binary(path)
+
+
 def default_path(first_input: str, output: str | None = None) -> str:
     """Where a collection goes: the output name given, or the first input's, with the suffix once."""
     base = output or ("stdin" if first_input == "-" else first_input)
@@ -30,6 +40,8 @@ def save(sketches: DataFrame, params: SketchParams, path: str, overwrite: bool =
 
 
 def load_params(spark: SparkSession, path: str) -> SketchParams:
+    if is_binary(path):
+        return binary.read_params(path)[0]
     row = spark.read.schema("params string").json(f"{path}/params").first()
     if row is None:
         raise ValueError(f"{path} is not a sketch collection")
@@ -38,13 +50,15 @@ def load_params(spark: SparkSession, path: str) -> SketchParams:
 
 def count(spark: SparkSession, path: str) -> int:
     """Number of sketches, from the files' footers."""
+    if is_binary(path):
+        return binary.read_params(path)[1]
     return spark.read.schema(SKETCH_SCHEMA).parquet(f"{path}/sketches").count()
 
 
 def load(spark: SparkSession, path: str, params: SketchParams | None = None, allow_smaller: bool = False) -> tuple[DataFrame, SketchParams] | None:
     """A collection and its parameters; with ``params``, reduced to their sketch size, or None and a warning if it can't be compared."""
     own = load_params(spark, path)
-    rows = spark.read.schema(SKETCH_SCHEMA).parquet(f"{path}/sketches")
+    rows = binary.read_sketches(spark, path) if is_binary(path) else spark.read.schema(SKETCH_SCHEMA).parquet(f"{path}/sketches")
     if params is None:
         return rows, own
     if why := params.accepts(own, allow_smaller):

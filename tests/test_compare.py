@@ -196,7 +196,15 @@ def test_sequence_files(spark, tmp_path, packed):
     assert [(r["name"], r["comment"], bytes(r["seq"]), r["qual"] and bytes(r["qual"])) for r in got] == [("a", "first one", b"ACGTACGT", None), ("b", "", b"ACGTA", b"@@@>>"), ("c", "", b"", None), ("d", "x", b"ACGT", b"IIII")]
 
 
-@pytest.mark.parametrize("text", [b"@a\nACGT\n+\nII\n", b"@a\nAC\n+\nIII\n"])
+def test_delimiters_within_lines():
+    """Records start and end wherever a delimiter stands; more qualities than letters are skipped."""
+    import io
+
+    text = b"x>a one\nAC>b\nGT@c two\nAA+ rest\nIIII\n@d\nCC\n+\nJ J"
+    assert list(sequences.parse(io.BytesIO(text))) == [("a", "one", b"AC", None), ("b", "", b"GT", None), ("c", "two", b"AA", b"II"), ("d", "", b"CC", b"JJ")]
+
+
+@pytest.mark.parametrize("text", [b"@a\nACGT\n+\nII\n", b"@a\nAC\n+\nI"])
 def test_broken_qualities(text):
     import io
 
@@ -244,3 +252,75 @@ def test_numbers_in_text(spark):
     values = [0.0, 1.0, 0.12101, 4.48626e-214, 1234567.0, 123456.0, 1e-5, 0.0001234567, math.inf, math.nan, 100.0, 0.1]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").select(formats.general(F.col("x"))).collect()]
     assert got == [f"{v:.6g}" for v in values]
+
+
+class Packed:
+    """Writes binary sketch files for the test, by the public encoding: a struct's words are laid out before what it points to."""
+
+    def __init__(self, segments: int) -> None:
+        self.segments = [bytearray() for _ in range(segments)]
+
+    def room(self, words: int, segment: int) -> int:
+        at = len(self.segments[segment])
+        self.segments[segment] += bytes(8 * words)
+        return at
+
+    def put(self, segment: int, at: int, value: int, size: int = 8) -> None:
+        self.segments[segment][at : at + size] = value.to_bytes(size, "little")
+
+    def point(self, segment: int, at: int, to_segment: int, to: int, kind: int, high: int) -> None:
+        if to_segment != segment:  # by way of a pointer that stands there
+            pad = self.room(1, to_segment)
+            self.put(segment, at, 2 | pad // 8 << 3 | to_segment << 32)
+            segment, at = to_segment, pad
+        self.put(segment, at, kind | ((to - at - 8) // 8 & 0x3FFFFFFF) << 2 | high << 32)
+
+    def data(self, segment: int, at: int, raw: bytes, code: int, count: int, to_segment: int) -> None:
+        to = self.room(-(-len(raw) // 8), to_segment)
+        self.segments[to_segment][to : to + len(raw)] = raw
+        self.point(segment, at, to_segment, to, 1, code | count << 3)
+
+    def finished(self) -> bytes:
+        head = (len(self.segments) - 1).to_bytes(4, "little") + b"".join((len(s) // 8).to_bytes(4, "little") for s in self.segments)
+        return head + bytes(-len(head) % 8) + b"".join(self.segments)
+
+
+def packed(rows, params, place, segments):
+    m, last = Packed(segments), segments - 1
+    start = m.room(1, 0)
+    root = m.room(7, 0)
+    m.point(0, start, 0, root, 0, 3 | 4 << 16)
+    m.put(0, root, params.kmer, 4)
+    m.put(0, root + 8, params.sketch_size, 4)
+    m.put(0, root + 12, params.concatenated | (not params.canonical) << 1 | params.preserve_case << 2, 1)
+    m.put(0, root + 20, params.seed ^ 42, 4)
+    letters = params.alphabet.encode() + b"\0"
+    m.data(0, root + 24 + 8 * 2, letters, 2, len(letters), last)
+    held = m.room(1, 0)
+    m.point(0, root + 24 + 8 * place, 0, held, 0, 1 << 16)
+    tag = m.room(1 + 9 * len(rows), last)
+    m.point(0, held, last, tag, 1, 7 | 9 * len(rows) << 3)
+    m.put(last, tag, len(rows) << 2 | 2 << 32 | 7 << 48)
+    for k, (name, comment, length, hashes, counts) in enumerate(rows):
+        at = tag + 8 + 72 * k
+        m.put(last, at + (8 if length >> 32 else 0), length, 8 if length >> 32 else 4)
+        wide = params.use64
+        for i, raw, code, n in ((2, name.encode() + b"\0", 2, len(name) + 1), (3, comment.encode() + b"\0", 2, len(comment) + 1), (5 if wide else 4, np.array(hashes, "<u8" if wide else "<u4").tobytes(), 5 if wide else 4, len(hashes)), (6, np.array(counts, "<u4").tobytes(), 4, len(counts))):
+            if i != 6 or counts:
+                m.data(last, at + 16 + 8 * i, raw, code, n, last)
+    return m.finished()
+
+
+@pytest.mark.parametrize(("kmer", "place", "segments"), [(21, 3, 1), (21, 0, 2), (11, 3, 2)])
+def test_binary_sketch_files(spark, tmp_path, kmer, place, segments):
+    p = SketchParams(kmer=kmer, sketch_size=4, seed=42 if place == 0 else 7, counts=True)
+    top = (1 << 64) - 1 if p.use64 else (1 << 32) - 1
+    rows = [("one", "first", 123, [5, 9, top - 1, top], [1, 2, 3, 4]), ("empty", "", 1 << 33, [], []), ("two", "", 77, [1, 2, 3, 4, 6], [9, 8, 7, 6, 5])]
+    path = tmp_path / "x.msh"
+    path.write_bytes(packed(rows, p, place, segments))
+    assert store.is_collection(str(path)) and store.count(spark, str(path)) == 3 and store.load_params(spark, str(path)) == p
+    got = store.load(spark, str(path))[0].orderBy("ref_idx").collect()
+    form = lambda h: h - (1 << 63) if p.use64 else h
+    for r, (name, comment, length, hashes, counts) in zip(got, rows, strict=True):
+        assert (r["name"], r["comment"], r["length"], r["hashes"], r["counts"]) == (name, comment, length, [form(h) for h in hashes[:4]], counts[:4])
+        assert r["max_hash"] == (form(hashes[:4][-1]) if hashes else None)
