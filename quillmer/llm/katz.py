@@ -253,24 +253,34 @@ class Chunk:
         self.documents = int(self.count[np.flatnonzero(x["lens"] == 0)].sum())  # trained ones: times that the end, the empty string, was seen
 
 
+def folded(x: np.ndarray) -> np.ndarray:
+    """Numbers of small magnitude as small numbers from 0 on."""
+    return x << 1 ^ x >> 63
+
+
+def unfolded(x: np.ndarray) -> np.ndarray:
+    return x >> 1 ^ -(x & 1)
+
+
 class Level:
     """The distinct n-grams of a chunk, by shard, context and word."""
 
     def __init__(self, chunk: Chunk, n: int, below: Level | None, shards: int, heavy: int) -> None:
         v, at = chunk.words, chunk.at
         self.n, self.below = n, below
-        # contexts: distinct runs of n - 1 tokens before a token
-        key, columns = chunk.tokens[at - 1].astype(np.int64), None
-        for m in range(1, n):
-            if m > 1:
-                key = chunk.tokens[at - m].astype(np.int64) * len(columns[0]) + key
-            distinct, key = np.unique(key, return_inverse=True)
-            columns = [distinct] if m == 1 else [distinct // len(columns[0]), *(c[distinct % len(columns[0])] for c in columns)]
-        context = key
-        self.columns = [chunk.number[c] for c in columns]
-        # times that a context was seen: those of its n - 1 tokens, or of all documents' starts
-        total = np.full(len(columns[0]), chunk.documents, np.int64)
+        # contexts: words, or n-grams of the level below, that stand before a token; the last one is the starts
         inner = np.flatnonzero(chunk.tokens[at - 1] != v)
+        if n == 2:
+            context, columns = chunk.tokens[at - 1], [chunk.number]
+        else:
+            context = np.full(len(at), len(below.r), np.int32)
+            context[inner] = below.gram[inner - 1]
+            columns = [np.append(c, START) for c in below.grams]
+        used = np.bincount(context, minlength=len(columns[0])) > 0
+        context = (np.cumsum(used, dtype=np.int32) - 1)[context]
+        self.columns = [c[used] for c in columns]
+        # times that a context was seen: those of its n - 1 tokens, or of all documents' starts
+        total = np.full(len(self.columns[0]), chunk.documents, np.int64)
         total[context[inner]] = chunk.count[chunk.tokens[at[inner] - 1]] if n == 2 else below.r[below.gram[inner - 1]]
         self.total = total
         # a heavy context is dealt to several shards by the word
@@ -282,20 +292,24 @@ class Level:
         for c in self.columns:
             h = mix(h * np.uint64(0x9FB21C651E98DF25) + c.astype(np.uint64) + np.uint64(1))
         shard = (mix(h[owner] + part.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
-        order = np.lexsort((part, *(c[owner] for c in self.columns[::-1]), shard))
+        order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.owner, self.part, self.shard = owner[order], part[order], shard[order]
         self.split = (parts > 1)[self.owner]
-        word, key = chunk.token, None
-        pick_ = base[context] + (mix(chunk.number[word].astype(np.uint64)) % parts[context].astype(np.uint64)).astype(np.int64)
-        key, gram = np.unique(place[pick_] * v + chunk.rank[word], return_inverse=True)
+        word = chunk.token
+        pick_ = context
+        if len(owner) > len(parts):
+            pick_ = base[context] + (mix(chunk.number[word].astype(np.uint64)) % parts[context].astype(np.uint64)).astype(np.int64)
+        key, gram = np.unique(place[pick_] << 32 | chunk.rank[word], return_inverse=True)
         del pick_, place
         self.gram = gram.astype(np.int32)
         del gram
-        self.entry, self.word = (key // v).astype(np.int32), chunk.by_number[key % v].astype(np.int32)
+        self.entry, self.word = (key >> 32).astype(np.int32), chunk.by_number[key & 0xFFFFFFFF].astype(np.int32)
         self.train = np.bincount(self.gram, weights=chunk.train, minlength=len(key)).astype(np.int32)
         self.many = np.bincount(self.entry, minlength=len(order))
+        self.widest = int(chunk.number.max())
+        self.last = chunk.number[self.word].astype(np.int32 if self.widest < 1 << 31 else np.int64)
         if below is not None:
             #: the n-gram's last n - 1 tokens, and the context's last n - 2, on the level below
             self.lower, self.lower_context = np.empty(len(key), np.int32), np.empty(len(total), np.int32)
@@ -314,7 +328,7 @@ class Level:
                 step = np.diff(number[g], prepend=0)
                 step[starts] = number[g][starts]  # words rise within a context
                 own = {f"u{i}": c[self.owner[a:z]] for i, c in enumerate(self.columns)}
-                own["u0"] = np.diff(own["u0"], prepend=0)
+                own["u0"] = folded(np.diff(own["u0"], prepend=0))
                 if self.below is not None:
                     own["divisor"] = self.below.divisor[self.lower_context[self.owner[a:z]]]
                 yield s, pack(**own, part=self.part[a:z], split=self.split[a:z].view(np.uint8), many=self.many[a:z], step=step, train=self.train[g], known=known[g])
@@ -341,6 +355,8 @@ class Level:
             alpha = np.where(self.total > 0, (1 - left / self.divisor) / (1 - held), 1.0)
             context = self.owner[self.entry]
             self.p = np.where(self.r > 0, discounted(self.r, d) / self.divisor[context], alpha[context] * lower)
+        #: the n words of each n-gram, by number
+        self.grams = [*(c.astype(np.int32 if self.widest < 1 << 31 else np.int64)[context] for c in self.columns), self.last]
         del self.columns, self.part, self.shard, self.split, self.many, self.train, self.word, self.below  # the level above needs none of these
 
 
@@ -364,7 +380,7 @@ def answers(t: pa.Table, n: int, known_p) -> pa.Table:
     entries, grams = {k: [] for k in names}, {k: [] for k in ("word", "train", "known")}
     for g in got:
         many, step = g["many"].astype(np.int64), g.pop("step").astype(np.int64)
-        g["u0"] = np.cumsum(g["u0"].astype(np.int64))
+        g["u0"] = np.cumsum(unfolded(g["u0"].astype(np.int64)))
         run = np.cumsum(step)
         starts = (np.cumsum(many) - many)[many > 0]
         grams["word"].append(run - np.repeat(run[starts] - step[starts], many[many > 0]))
