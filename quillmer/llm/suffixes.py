@@ -33,16 +33,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import attach, buffers, codes, free_name, is_empty, materialize, mix, pack, pick, text_slices, thrifty, unpack
+from .common import attach, buffers, codes, free_name, is_empty, materialize, mix, pack, pick, text_slices, thrifty, trim, unpack
 
 LENGTH = 100
 GRAM = 16
 SEGMENT = 1 << 21
 #: Text that a task holds pieces of before it sends them.
-FLUSH_BYTES = 12 << 20
+FLUSH_BYTES = 6 << 20
 #: Piece bytes that a shard is planned for, and piece bytes for each byte of text.
 SHARD_BYTES = 8 << 20
 #: Piece bytes of one suffix array.
@@ -378,7 +380,7 @@ class Outbox:
             return
         key, rank = ranked(key)
         doc, lens = rank[doc], windows + self.length - 1
-        code, _ = codes(gather(raw, start, lens), lens)
+        code = codes(gather(raw, start, lens), lens)[0]
         shard = ((name >> np.uint64(32)) % np.uint64(self.shards)).astype(np.int64)
         order, first, again = fresh(code, name, doc, pos)
         by_shard = np.argsort(shard[order], kind="stable")
@@ -433,7 +435,7 @@ def flank_shared(content: np.ndarray, gram: np.ndarray, size: int, ok: np.ndarra
 def settle(content: np.ndarray, begin: np.ndarray, lens: np.ndarray, doc: np.ndarray, pos: np.ndarray, name: np.ndarray, gram: np.ndarray, length: int, cuts: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(doc, start, end) of what goes among the pieces ``content[begin:begin+lens]``, whose least gram is ``gram`` bytes on."""
     whole = int(lens.sum()) == len(content) and bool((begin == np.cumsum(lens) - lens).all())  # the pieces are it, one after another
-    code, _ = codes(content if whole else gather(content, begin, lens), lens)
+    code = codes(content if whole else gather(content, begin, lens), lens)[0]
     order, first, again = fresh(code, name, doc, pos)
     name, doc, pos, lens, begin, gram = (x[order] for x in (name, doc, pos, lens, begin, gram))
     yield doc[again], pos[again], pos[again] + lens[again]
@@ -507,6 +509,7 @@ def removed(rows: DataFrame, names_: list[str], text_col: str = "text", length:
             box.add(raw, offsets, b.column("doc").to_numpy(), (b.column("mark1").to_numpy(), b.column("mark2").to_numpy()))
             if box.size >= FLUSH_BYTES:
                 yield from box.flush()
+                trim()
         yield from box.flush()
 
     def work(t: pa.Table) -> pa.Table:
@@ -542,7 +545,27 @@ def _with_ranges(docs: DataFrame, id_col: str, text_col: str, length: int) -> tu
     gone = free_name(rows, "gone")
     ranges = removed(rows, key, text_col, length).withColumnsRenamed(dict(zip(("doc", "mark1", "mark2"), key, strict=True)))
     by_doc = ranges.groupBy(*key).agg(F.flatten(F.collect_list(F.array("start", "end"))).alias(gone))
-    return rows.join(by_doc, key, "left").select(*(f"`{c}`" for c in docs.columns), gone), gone
+    joined = squeezed(rows, text_col).join(by_doc, key, "left")
+    return joined.select(*(f"`{c}`" for c in docs.columns), gone), gone
+
+
+def squeezed(rows: DataFrame, text_col: str) -> DataFrame:
+    """``rows`` with compressed texts (binary), for their way through a shuffle; see :func:`texts`."""
+    schema = StructType([StructField(f.name, BinaryType()) if f.name == text_col else f for f in rows.schema.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = zstandard.ZstdCompressor(level=3, write_content_size=True)
+        for b in text_slices(batches, text_col):
+            made = [None if t is None else tool.compress(t) for t in b.column(text_col).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()) if f.name == text_col else b.column(f.name) for f in schema.fields], schema.names)
+
+    return rows.mapInArrow(thrifty(run), schema)
+
+
+def texts(column: pa.Array) -> Iterator[bytes | None]:
+    """What :func:`squeezed` took."""
+    tool = zstandard.ZstdDecompressor()
+    return (None if t is None else tool.decompress(t.as_buffer()) for t in (x if x.is_valid else None for x in column))
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -553,7 +576,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, "text"):
             out = []
-            for text, gone in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column(name).to_pylist(), strict=True):
+            for text, gone in zip(texts(b.column("text")), b.column(name).to_pylist(), strict=True):
                 text = text or b""
                 kept, n = _kept(text, gone)
                 out.append((len(text), len(text) - len(kept), n, hashlib.sha256(kept).hexdigest()))
@@ -569,8 +592,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, text_col):
-            texts = [None if t is None else _kept(t, g)[0].decode("utf-8", "ignore") for t, g in zip(b.column(text_col).cast(pa.binary()).to_pylist(), b.column(name).to_pylist(), strict=True)]
-            columns = [pa.array(texts, b.schema.field(text_col).type) if f.name == text_col else b.column(f.name) for f in schema.fields]
+            left = [None if t is None else _kept(t, g)[0].decode("utf-8", "ignore") for t, g in zip(texts(b.column(text_col)), b.column(name).to_pylist(), strict=True)]
+            columns = [pa.array(left, pa.string()) if f.name == text_col else b.column(f.name) for f in schema.fields]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return ranged.mapInArrow(thrifty(run), schema)
