@@ -40,10 +40,10 @@ from pyspark.sql import DataFrame
 
 from .common import buffers, kept, pick, text_slices, thrifty
 
-MAX_STATES = 1_000_000
-MAX_CACHE = 300_000
+MAX_STATES = 600_000
+MAX_CACHE = 200_000
 #: Bytes of text handled at once, and of a piece that runs in step with others.
-SLICE = 4 << 20
+SLICE = 2 << 20
 BLOCK = 1024
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 

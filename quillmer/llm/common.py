@@ -108,8 +108,18 @@ def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
 
+#: Rows of an Arrow batch: they hold whole texts, and each worker has a batch on both of its sides.
+BATCH_ROWS = 1000
+
+
 def pick(df: DataFrame, **cols: str) -> DataFrame:
-    """Only the named columns, renamed: whatever else a table holds can't clash with ours."""
+    """Only the named columns, renamed: whatever else a table holds can't clash with ours.
+
+    Arrow batches of the session get ``BATCH_ROWS`` rows at most from now on.
+    """
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
     return df.select(*(F.col(f"`{c}`").alias(k) for k, c in cols.items()))
 
 

@@ -25,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, buffers, codes, mix, pick, string_hashes, sums, text_slices, thrifty
+from .common import Words, buffers, codes, mix, pack, pick, string_hashes, sums, text_slices, thrifty, unpack
 
 BUCKET_BITS = 16
 MODEL_BITS = 20
+#: Buckets that travel together.
+BLOCK = 1 << 14
 #: N-grams of the corpus's own distribution that a bucket's target count is drawn by.
 PRIOR = 2.0
 #: Mean log ratio (nats per n-gram) below which a document is rejected.
@@ -125,11 +127,13 @@ def base_counts(words: Words, code: np.ndarray) -> dict[str, np.ndarray]:
 def counts(docs: DataFrame, trusted: DataFrame, bits: int, id_col: str = "doc_id", text_col: str = "text", max_trusted: int = MAX_TRUSTED) -> np.ndarray:
     """N-grams of each bucket in all and in the trusted documents.  ``trusted``: its first column names documents.
 
-    Every task adds up its own buckets before the shuffle; the driver gets 2**bits rows at most whatever the input.
+    Every task adds up its own buckets and sends them as packed blocks of ``BLOCK`` buckets, which are added up by block;
+    the driver gets 2**bits numbers at most whatever the input.
     """
     ids = trusted.select(F.col(f"`{trusted.columns[0]}`").alias("id")).where("id is not null").distinct()
     ids = ids.orderBy(F.xxhash64("id"), "id").limit(max_trusted).withColumn("target", F.lit(True))
     rows = pick(docs, id=id_col, text=text_col).join(F.broadcast(ids), "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    size = min(BLOCK, 1 << bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 << bits), np.int64)
@@ -138,14 +142,24 @@ def counts(docs: DataFrame, trusted: DataFrame, bits: int, id_col: str = "doc_id
             bucket, text = features(words, words.hashes(), bits)
             target = b.column("target").to_numpy(zero_copy_only=False)
             total[0] += np.bincount(bucket, minlength=1 << bits)
-            total[1] += np.bincount(bucket[target[text]], minlength=1 << bits)
-        some = np.flatnonzero(total[0])
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[0][some]), pa.array(total[1][some])], ["bucket", "raw", "target"])
-
-    counted = rows.mapInArrow(thrifty(count), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
+            if target.any():
+                total[1] += np.bincount(bucket[target[text]], minlength=1 << bits)
+        for k, (raw, good) in enumerate(zip(total[0].reshape(-1, size), total[1].reshape(-1, size), strict=True)):
+            if raw.any():
+                yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "body": [pack(raw=raw, good=good)]})
+
+    def add(t: pa.Table) -> pa.Table:
+        both = np.zeros((2, size), np.int64)
+        for body in t.column("body").to_pylist():
+            x = unpack(body)
+            both += np.stack([x["raw"], x["good"]]).astype(np.int64)
+        return pa.table({"block": t.column("block").slice(0, 1), "body": pa.array([pack(raw=both[0], good=both[1])], pa.binary())})
+
+    summed = rows.mapInArrow(thrifty(count), "block int, body binary").groupBy("block").applyInArrow(thrifty(add), "block int, body binary").toArrow()
     total = np.zeros((2, 1 << bits))
-    bucket = counted["bucket"].to_numpy()
-    total[0, bucket], total[1, bucket] = counted["raw"].to_numpy(), counted["target"].to_numpy()
+    for k, body in zip(summed["block"].to_pylist(), summed["body"].to_pylist(), strict=True):
+        x = unpack(body)
+        total[0, k * size : (k + 1) * size], total[1, k * size : (k + 1) * size] = x["raw"], x["good"]
     return total
 
 

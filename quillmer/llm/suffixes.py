@@ -44,7 +44,7 @@ LENGTH = 100
 GRAM = 16
 SEGMENT = 1 << 21
 #: Text that a task holds pieces of before it sends them.
-FLUSH_BYTES = 6 << 20
+FLUSH_BYTES = 4 << 20
 #: Piece bytes that a shard is planned for, and piece bytes for each byte of text.
 SHARD_BYTES = 8 << 20
 #: Piece bytes of one suffix array.
