@@ -40,10 +40,12 @@ from pyspark.sql import DataFrame
 
 from .common import buffers, kept, pick, text_slices, thrifty
 
-MAX_STATES = 600_000
-MAX_CACHE = 200_000
+MAX_STATES = 500_000
+MAX_CACHE = 120_000
 #: Bytes of text handled at once, and of a piece that runs in step with others.
-SLICE = 2 << 20
+SLICE = 1 << 20
+#: New parts that run in step.
+NEW = 1 << 14
 BLOCK = 1024
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -405,8 +407,8 @@ class Encoder:
                     ask.append(i)
                 else:
                     found[i] = memo[parts[i]] = x
-        for a in range(0, len(ask), 1 << 16):
-            some = ask[a : a + (1 << 16)]
+        for a in range(0, len(ask), NEW):
+            some = ask[a : a + NEW]
             for i, x in zip(some, self._new([parts[i] for i in some]), strict=True):
                 found[i] = x
                 if len(parts[i]) < 64:  # longer ones are rare, and large to keep
