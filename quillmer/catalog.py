@@ -105,10 +105,8 @@ def sql_postings(name: str, seqs: str, p: SketchParams) -> str:
 
 def sketches(seqs: DataFrame, p: SketchParams) -> DataFrame:
     """Sketches named after their numbers."""
-    size = F.octet_length("seq").cast("long")
-    meta = seqs.groupBy("ref_idx").agg(F.sum(F.when(size >= p.kmer, size).otherwise(0)).alias("length"))
-    meta = meta.select("ref_idx", F.concat(F.lit("ref"), F.col("ref_idx")).alias("name"), F.lit("").alias("comment"), F.coalesce("length", F.lit(0)).alias("length"))
-    return written(sketch.nested(sketch.postings(seqs.select("ref_idx", "seq"), p), meta), "sketches")
+    rows = sketch.gathered(seqs, p)
+    return written(sketch.sized(rows.select("ref_idx", F.concat(F.lit("ref"), F.col("ref_idx")).alias("name"), F.lit("").alias("comment"), "length", "hashes", "counts")), "sketches")
 
 
 def sql_distance(k: int) -> str:

@@ -5,12 +5,13 @@ Hashes are longs that sort as the unsigned values do: 64-bit ones are stored wit
 
 from __future__ import annotations
 
-import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,9 +26,11 @@ _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _ADD1, _ADD2 = np.uint64(0x52DCE729), np.uint64(0x38495AB5)
 
 #: Sequence bytes handled at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
+#: Windows hashed in step: their arrays stay in a core's cache.
+STEP = 1 << 15
 #: Hashes that a task holds before it counts them.
-HELD = 4 << 20
+HELD = 1 << 20
 
 
 def _rot(x: np.ndarray, r: int) -> np.ndarray:
@@ -86,13 +89,63 @@ def md5_60(kmer: Column) -> Column:
     return F.conv(F.substring(F.md5(kmer), 1, 15), 16, 10).cast("long")
 
 
+#: Fixed values of MD5: rotations, sines, start.
+_SHIFTS = (7, 12, 17, 22) * 4 + (5, 9, 14, 20) * 4 + (4, 11, 16, 23) * 4 + (6, 10, 15, 21) * 4
+_SINES = tuple(int(abs(math.sin(i + 1)) * 2**32) for i in range(64))
+_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+
+
+def _md5_60_words(words: list[np.ndarray], k: int) -> np.ndarray:
+    """:func:`md5_60` of messages of ``k`` < 56 bytes, given as their little-endian words, the last one padded: one block, all messages in step."""
+    n = len(words[0])
+    rest = [0] * 16
+    rest[14] = 8 * k
+    if k % 4 == 0:
+        rest[k // 4] = 0x80
+    a, b, c, d = (np.full(n, x, np.uint32) for x in _START)
+    f = np.empty(n, np.uint32)
+    for i in range(64):
+        if i < 16:
+            g = i
+            np.bitwise_xor(c, d, out=f)
+            np.bitwise_and(f, b, out=f)
+            np.bitwise_xor(f, d, out=f)
+        elif i < 32:
+            g = (5 * i + 1) % 16
+            np.bitwise_xor(b, c, out=f)
+            np.bitwise_and(f, d, out=f)
+            np.bitwise_xor(f, c, out=f)
+        elif i < 48:
+            g = (3 * i + 5) % 16
+            np.bitwise_xor(b, c, out=f)
+            np.bitwise_xor(f, d, out=f)
+        else:
+            g = 7 * i % 16
+            np.invert(d, out=f)
+            np.bitwise_or(f, b, out=f)
+            np.bitwise_xor(f, c, out=f)
+        np.add(a, f, out=a)
+        if g < len(words):
+            np.add(a, words[g], out=a)
+            np.add(a, np.uint32(_SINES[i]), out=a)
+        else:
+            np.add(a, np.uint32((_SINES[i] + rest[g]) & 0xFFFFFFFF), out=a)
+        np.left_shift(a, np.uint32(_SHIFTS[i]), out=f)
+        np.right_shift(a, np.uint32(32 - _SHIFTS[i]), out=a)
+        np.bitwise_or(a, f, out=a)
+        np.add(a, b, out=a)
+        a, b, c, d = d, a, b, c
+    a, b = (x + np.uint32(y) for x, y in zip((a, b), _START))
+    return ((a.byteswap().astype(np.uint64) << np.uint64(28)) | (b.byteswap().astype(np.uint64) >> np.uint64(4))).astype(np.int64)
+
+
 def md5_60_of(both: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
-    """:func:`md5_60` of each ``both[start:start + k]``; each distinct one is digested once."""
-    windows = np.lib.stride_tricks.sliding_window_view(both, k)[starts]
-    coded = pa.FixedSizeBinaryArray.from_buffers(pa.binary(k), len(starts), [None, pa.py_buffer(np.ascontiguousarray(windows))]).dictionary_encode()
-    md5 = hashlib.md5
-    digests = b"".join([md5(x).digest()[:8] for x in coded.dictionary.to_pylist()])
-    return (np.frombuffer(digests, ">u8").astype(np.uint64) >> np.uint64(4)).astype(np.int64)[coded.indices.to_numpy()]
+    """:func:`md5_60` of each ``both[start:start + k]``; ``both`` needs 8 spare bytes at its end."""
+    lanes = np.ndarray((len(both) - 3,), "<u4", both, strides=(1,))
+    words = [lanes[starts + at] for at in range(0, k, 4)]
+    if k % 4:
+        words[-1] = words[-1] & np.uint32((1 << 8 * (k % 4)) - 1) | np.uint32(0x80 << 8 * (k % 4))
+    return _md5_60_words(words, k)
 
 
 def _complement_table() -> np.ndarray:
@@ -153,7 +206,24 @@ class KmerHasher:
 
     def _of(self, both: np.ndarray, starts: np.ndarray) -> np.ndarray:
         p = self.params
-        return md5_60_of(both, starts, p.kmer) if p.hash_fn == "md5_60" else encode(murmur3_low64(both, starts, p.kmer, p.seed), p)
+        out = np.empty(len(starts), np.int64)
+        for a in range(0, len(starts), STEP):
+            part = starts[a : a + STEP]
+            out[a : a + STEP] = md5_60_of(both, part, p.kmer) if p.hash_fn == "md5_60" else encode(murmur3_low64(both, part, p.kmer, p.seed), p)
+        return out
+
+    def blocks(self, seqs: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, ends, hashes) of a binary array, about ``BLOCK`` bytes at once: the hashes of ``rows[i]`` end at ``ends[i]``; a row may come in several pieces."""
+        for first, offsets, data in _portions(seqs):
+            k = self.params.kmer
+            for a in range(0, max(len(data) - k + 1, 0), BLOCK):
+                raw = self.fold[data[a : a + BLOCK + k - 1]]
+                at = self.positions(raw, offsets[1:-1] - a)
+                at = at[at < BLOCK]
+                ends = np.searchsorted(at, offsets[1:] - a)
+                rows = np.flatnonzero(np.diff(ends, prepend=0))
+                if len(rows):
+                    yield first + rows, ends[rows], self.hashes(raw, at)
 
     def each(self, seqs: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
         """(row, hashes) in pieces: short sequences together, a long one block by block."""
@@ -188,6 +258,49 @@ class KmerHasher:
             yield from joined()
 
 
+def _portions(seqs: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, offsets, bytes) of stretches of rows of a binary array; nulls are empty."""
+    if not len(seqs):
+        return
+    seqs = seqs.cast(pa.large_binary())
+    offsets = np.frombuffer(seqs.buffers()[1], np.int64)[seqs.offset : seqs.offset + len(seqs) + 1]
+    if seqs.null_count:  # what a null spans is not defined
+        seqs = pa.array([x or b"" for x in seqs.to_pylist()], pa.large_binary())
+        offsets = np.frombuffer(seqs.buffers()[1], np.int64)[: len(seqs) + 1]
+    if seqs.buffers()[2] is None:
+        return
+    data, row = np.frombuffer(seqs.buffers()[2], np.uint8), 0
+    while row < len(seqs):
+        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + BLOCK, "right")) - 1)
+        yield row, offsets[row : stop + 1] - offsets[row], data[offsets[row] : offsets[stop]]
+        row = stop
+
+
+def counted(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes in order, and how often each occurs."""
+    h = np.sort(h)
+    head = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+    return h[head], np.diff(np.append(head, len(h)))
+
+
+class Wanted:
+    """A set of hashes: bits by their low part, then the sorted array."""
+
+    BITS = 22
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes = hashes
+        self.bits = np.zeros(1 << self.BITS, bool)
+        self.bits[hashes & ((1 << self.BITS) - 1)] = True
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        out = self.bits[h & ((1 << self.BITS) - 1)]
+        at = np.flatnonzero(out)
+        if len(at):
+            out[at] = self.hashes[np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)] == h[at]
+        return out
+
+
 class Tally:
     """(group, hash, count) of a task, each pair once as far as they are held together.
 
@@ -197,12 +310,22 @@ class Tally:
     """
 
     def __init__(self, limit: int | None = None, wanted: np.ndarray | None = None) -> None:
-        self.limit, self.wanted = limit, wanted
+        self.limit = limit
+        self.wanted = None if wanted is None else Wanted(wanted)
         self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size = 0
+        self.top = np.zeros(0, np.int64)  # of each group, what its smallest hashes don't exceed
 
-    def add(self, group: np.ndarray, h: np.ndarray, count: np.ndarray | None = None) -> None:
-        self.held.append((group, h, np.ones(len(h), np.int64) if count is None else count))
+    def add(self, group: np.ndarray, h: np.ndarray, groups: int) -> None:
+        """``h`` of ``group``, numbers below ``groups``; those that can't stay are left out at once."""
+        if self.limit is not None:
+            if len(self.top) < groups:
+                self.top = np.append(self.top, np.full(2 * groups - len(self.top), np.iinfo(np.int64).max))
+            keep = h <= self.top[group]
+            if self.wanted is not None:
+                keep |= self.wanted.holds(h)
+            group, h = group[keep], h[keep]
+        self.held.append((group, h, np.ones(len(h), np.int64)))
         self.size += len(h)
 
     def merged(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -214,9 +337,12 @@ class Tally:
         group, h = group[head], h[head]
         if self.limit is not None:
             first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-            keep = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h)))) < self.limit
-            if self.wanted is not None and len(self.wanted):
-                keep |= self.wanted[np.minimum(np.searchsorted(self.wanted, h), len(self.wanted) - 1)] == h
+            size = np.diff(np.append(first, len(h)))
+            full = size >= self.limit
+            self.top[group[first[full]]] = h[first[full] + self.limit - 1]
+            keep = np.arange(len(h)) - np.repeat(first, size) < self.limit
+            if self.wanted is not None:
+                keep |= self.wanted.holds(h)
             group, h, count = group[keep], h[keep], count[keep]
         self.held, self.size = [(group, h, count)], len(h)
         return self.held[0]
@@ -227,11 +353,6 @@ def hashed(df: DataFrame, group: str, seq: str, params: SketchParams, limit: int
 
     ``limit``: only so many smallest hashes of each group leave a task; with ``wanted``, a broadcast sorted array, those too that it holds.
     """
-    if params.hash_fn == "md5_60" and df.isStreaming:  # a stream is aggregated once, by whoever asks
-        from .kmers import with_kmers
-
-        rows = with_kmers(df.select(F.col(group).alias("grp"), F.col(seq).alias("seq")), "seq", params)
-        return rows.select(F.col("grp").alias(group), md5_60(F.col("kmer")).alias("hash"), F.lit(1).cast("long").alias("count"))
     rows = df.select(F.col(group).alias("grp"), F.col(seq).cast("binary").alias("seq")).where("seq is not null")
     rows = rows if df.isStreaming else spread(rows)
     kind = df.schema[group].dataType
@@ -248,15 +369,15 @@ def hashed(df: DataFrame, group: str, seq: str, params: SketchParams, limit: int
                 part = slice(a, a + (1 << 16))
                 yield pa.RecordBatch.from_arrays([values.take(pa.array(g[part])), pa.array(h[part]), pa.array(count[part])], [group, "hash", "count"])
 
-        arrow_kind = None
+        arrow_kind, check = None, HELD
         for b in batches:
             arrow_kind = b.column("grp").type
             coded = b.column("grp").dictionary_encode(null_encoding="encode")
             number = np.array([names.setdefault(x, len(names)) for x in coded.dictionary.to_pylist()], np.int64)
             keys = number[coded.indices.to_numpy()]
-            for row, h in tool.each([s or b"" for s in b.column("seq").to_pylist()]):
-                tally.add(np.full(len(h), keys[row]), h)
-                if tally.size > HELD:
+            for row, ends, h in tool.blocks(b.column("seq")):
+                tally.add(np.repeat(keys[row], np.diff(ends, prepend=0)), h, len(names))
+                if tally.size > check:
                     tally.merged()
                     if tally.size > HELD // 2:
                         yield from told()
@@ -268,6 +389,48 @@ def hashed(df: DataFrame, group: str, seq: str, params: SketchParams, limit: int
     return rows.mapInArrow(run, schema)
 
 
+def whole(df: DataFrame, group: str, seq: str, params: SketchParams) -> DataFrame:
+    """(group, length, hashes, counts): the sketch of each row by itself, where a group is one row; nothing is shuffled."""
+    rows = spread(df.select(F.col(group).alias("grp"), F.col(seq).cast("binary").alias("seq")))
+    kind = df.schema[group].dataType
+    limit = params.sketch_size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = KmerHasher(params)
+        for b in batches:
+            n = b.num_rows
+            sizes, hashes, counts, open_ = np.zeros(n, np.int64), [], [], {}
+
+            def closed(row: int, h: np.ndarray, count: np.ndarray) -> None:
+                take = np.flatnonzero(count >= params.min_copies)[:limit]
+                sizes[row] = len(take)
+                hashes.append(h[take])
+                counts.append(count[take])
+
+            for rows_, ends, h in tool.blocks(b.column("seq")):
+                start = 0
+                for row, end in zip(rows_.tolist(), ends.tolist(), strict=True):
+                    own, start = counted(h[start:end]), end
+                    if open_ and row not in open_:
+                        closed(*open_.popitem()[1])
+                    if row in open_:  # a long row, piece by piece
+                        both, count = np.append(open_[row][1], own[0]), np.append(open_[row][2], own[1])
+                        order = np.argsort(both, kind="stable")
+                        head = np.flatnonzero(np.append(True, np.diff(both[order]) != 0))
+                        own = both[order][head], np.add.reduceat(count[order], head)
+                    cut = slice(limit if params.min_copies == 1 else None)
+                    open_[row] = row, own[0][cut], own[1][cut]
+            if open_:
+                closed(*open_.popitem()[1])
+            length = pc.fill_null(pc.binary_length(b.column("seq")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (hashes, counts)]
+            yield pa.RecordBatch.from_arrays([b.column("grp"), pa.array(np.where(length >= params.kmer, length, 0)), *lists], [group, "length", "hashes", "counts"])
+
+    longs = T.ArrayType(T.LongType())
+    return rows.mapInArrow(run, T.StructType([T.StructField(group, kind), T.StructField("length", T.LongType()), T.StructField("hashes", longs), T.StructField("counts", longs)]))
+
+
 def register(spark, params: SketchParams | None = None, name: str = "kmer_hash") -> None:
     """SQL function ``kmer_hash(kmer)``: the stored hash of a k-mer of the parameters' size, canonical if they say so; null if it isn't valid."""
     params = params or SketchParams()

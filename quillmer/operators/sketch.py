@@ -12,17 +12,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import KmerHasher, hashed
+from ..functions.hashing import KmerHasher, hashed, whole
 from ..functions.stats import cardinality
 from ..params import SketchParams
-from ..plans import numbered
+from ..plans import numbered, small
 
 SKETCH_SCHEMA = "ref_idx long, name string, comment string, length long, n long, max_hash long, hashes array<long>, counts array<long>"
 
 
 def hash_counts(seqs: DataFrame, params: SketchParams, group: str = "ref_idx", seq: str = "seq", limit: int | None = None) -> DataFrame:
     """(group, hash, count) over all k-mers, each hash once; with a ``limit`` at least so many smallest of each group."""
-    return hashed(seqs, group, seq, params, limit).groupBy(group, "hash").agg(F.sum("count").alias("count"))
+    rows = hashed(seqs, group, seq, params, limit)
+    if limit is not None:  # few rows of a group are left, so that one shuffle by group serves its ranks too
+        rows = rows.repartition(group)
+    return rows.groupBy(group, "hash").agg(F.sum("count").alias("count"))
 
 
 def bottom(counts: DataFrame, params: SketchParams, group: str = "ref_idx") -> DataFrame:
@@ -38,14 +41,57 @@ def bottom(counts: DataFrame, params: SketchParams, group: str = "ref_idx") -> D
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= params.sketch_size).select(group, "hash", "rank", "count")
 
 
+def by_rows(seqs: DataFrame, group: str) -> tuple[DataFrame | None, DataFrame | None]:
+    """The rows of ``seqs`` that are their groups' only ones, and the others; None where there are no such, or few next to the others."""
+    n = seqs.groupBy(group).count()
+    got = n.agg(F.count("*").alias("groups"), F.count_if(F.col("count") > 1).alias("several")).first()
+    if not got["several"]:
+        return seqs, None
+    if 2 * got["several"] > got["groups"]:
+        return None, seqs
+    keys = small(n.where("count > 1").select(F.col(group).alias("_group")))
+    same = F.col(group).eqNullSafe(F.col("_group"))
+    return seqs.join(keys, same, "left_anti"), seqs.join(keys, same, "left_semi")
+
+
+def _merged_rows(rest: DataFrame, params: SketchParams, group: str, seq: str) -> DataFrame:
+    """Postings of groups of several rows.  Unless rare k-mers have to be left out, which only the whole count tells, tasks keep each group's smallest hashes before the shuffle."""
+    limit = params.sketch_size if params.min_copies == 1 else None
+    return bottom(hash_counts(rest, params, group, seq, limit), params, group)
+
+
 def postings(seqs: DataFrame, params: SketchParams, group: str = "ref_idx", seq: str = "seq") -> DataFrame:
     """Postings of ``seqs(group, seq)``; records shorter than a k-mer add nothing.
 
-    Unless rare k-mers have to be left out, which only the whole count tells, tasks keep each group's smallest hashes
-    before the first shuffle.
+    A group of one row is sketched where it is read and never shuffled.
     """
-    limit = params.sketch_size if params.min_copies == 1 else None
-    return bottom(hash_counts(seqs, params, group, seq, limit), params, group)
+    alone, rest = by_rows(seqs.select(group, seq), group)
+    parts = []
+    if alone is not None:
+        parts.append(exploded(whole(alone, group, seq, params), group))
+    if rest is not None:
+        parts.append(_merged_rows(rest, params, group, seq))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def gathered(seqs: DataFrame, params: SketchParams, group: str = "ref_idx", seq: str = "seq") -> DataFrame:
+    """(group, length, hashes, counts): each group's sketch and the bytes of its sequences that are long enough for a k-mer."""
+    alone, rest = by_rows(seqs.select(group, seq), group)
+    parts = []
+    if alone is not None:
+        parts.append(whole(alone, group, seq, params))
+    if rest is not None:
+        size = F.octet_length(seq).cast("long")
+        lengths = rest.groupBy(group).agg(F.coalesce(F.sum(F.when(size >= params.kmer, size)), F.lit(0)).alias("length"))
+        arrays = _merged_rows(rest, params, group, seq).groupBy(F.col(group).alias("_group")).agg(F.array_sort(F.collect_list(F.struct("hash", "count"))).alias("h"))
+        both = lengths.join(arrays, F.col(group).eqNullSafe(F.col("_group")), "left")
+        parts.append(both.select(group, "length", *(F.coalesce(F.col(f"h.{x}"), F.array().cast("array<long>")).alias(y) for x, y in (("hash", "hashes"), ("count", "counts")))))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def sized(rows: DataFrame) -> DataFrame:
+    """Sketches from ``rows(ref_idx, name, comment, length, hashes, counts)``."""
+    return rows.select("ref_idx", "name", "comment", "length", F.size("hashes").cast("long").alias("n"), F.array_max("hashes").alias("max_hash"), "hashes", "counts")
 
 
 def record_comments(records: DataFrame, params: SketchParams) -> DataFrame:
@@ -66,8 +112,7 @@ def nested(posting: DataFrame, meta: DataFrame) -> DataFrame:
     arrays = posting.groupBy("ref_idx").agg(F.array_sort(F.collect_list(F.struct("hash", "count"))).alias("h"))
     rows = meta.join(arrays, "ref_idx", "left")
     hashes, counts = F.coalesce(F.col("h.hash"), F.array().cast("array<long>")), F.coalesce(F.col("h.count"), F.array().cast("array<long>"))
-    rows = rows.select("ref_idx", "name", "comment", "length", hashes.alias("hashes"), counts.alias("counts"))
-    return rows.select("ref_idx", "name", "comment", "length", F.size("hashes").cast("long").alias("n"), F.array_max("hashes").alias("max_hash"), "hashes", "counts")
+    return sized(rows.select("ref_idx", "name", "comment", "length", hashes.alias("hashes"), counts.alias("counts")))
 
 
 def with_lengths(sketches: DataFrame, params: SketchParams) -> DataFrame:
@@ -139,10 +184,10 @@ def until_coverage(records: DataFrame, params: SketchParams) -> DataFrame:
     return with_lengths(records.select("ref_idx", "file", "file_idx", "rec_no", "name", "comment", "seq").groupBy("ref_idx").applyInPandas(fold, SKETCH_SCHEMA), params)
 
 
-def exploded(sketches: DataFrame) -> DataFrame:
+def exploded(sketches: DataFrame, group: str = "ref_idx") -> DataFrame:
     """Postings of sketches."""
-    rows = sketches.select("ref_idx", "counts", F.posexplode("hashes").alias("pos", "hash"))
-    return rows.select("ref_idx", "hash", (F.col("pos") + 1).alias("rank"), F.try_element_at("counts", F.col("pos") + 1).alias("count"))
+    rows = sketches.select(group, "counts", F.posexplode("hashes").alias("pos", "hash"))
+    return rows.select(group, "hash", (F.col("pos") + 1).alias("rank"), F.try_element_at("counts", F.col("pos") + 1).alias("count"))
 
 
 def truncated(sketches: DataFrame, size: int) -> DataFrame:
