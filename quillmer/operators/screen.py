@@ -18,6 +18,15 @@ from .sketch import exploded
 WANTED_HASHES = 4 << 20
 
 
+def wanted_hashes(refs: DataFrame):
+    """A broadcast sorted array of the references' hashes, or None where they are too many."""
+    n = refs.agg(F.sum("n")).first()[0] or 0
+    if n > WANTED_HASHES:
+        return None
+    hashes = refs.select(F.explode("hashes").alias("hash")).distinct().toArrow()["hash"].to_numpy()
+    return refs.sparkSession.sparkContext.broadcast(np.sort(hashes))
+
+
 def mixture_counts(mixture: DataFrame, params: SketchParams, seq: str = "seq", refs: DataFrame | None = None) -> DataFrame:
     """(hash, count) of all k-mers of the mixture; nucleotides are read in six frames if the parameters are for protein.
 
@@ -29,10 +38,8 @@ def mixture_counts(mixture: DataFrame, params: SketchParams, seq: str = "seq", r
         rows = translated(rows, "seq")
     limit, wanted = None, None
     if refs is not None and not mixture.isStreaming:
-        n = refs.agg(F.sum("n")).first()[0] or 0
-        if n <= WANTED_HASHES:
-            hashes = refs.select(F.explode("hashes").alias("hash")).distinct().toArrow()["hash"].to_numpy()
-            limit, wanted = params.sketch_size, mixture.sparkSession.sparkContext.broadcast(np.sort(hashes))
+        wanted = wanted_hashes(refs)
+        limit = None if wanted is None else params.sketch_size
     return hashed(rows, "grp", "seq", params, limit, wanted).groupBy("hash").agg(F.sum("count").alias("count"))
 
 

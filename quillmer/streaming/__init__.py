@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hashed
+from ..operators.screen import wanted_hashes
 from ..operators.sketch import bottom, exploded, hash_counts
 from ..params import SketchParams
 from ..plans import small
@@ -44,5 +45,8 @@ def latest(spark, path: str) -> DataFrame:
 def mixture_stream(seqs: DataFrame, refs: DataFrame, params: SketchParams, seq: str = "seq") -> DataFrame:
     """Streaming (hash, count) of a streaming mixture, of hashes that the references have: state is bounded by the references."""
     known = exploded(refs).select("hash").distinct()
-    rows = hashed(seqs.select(F.lit(0).alias("grp"), F.col(seq).alias("seq")), "grp", "seq", params)
+    limit, wanted = None, wanted_hashes(refs)
+    if wanted is not None:  # tasks drop all others but one, which the join drops
+        limit = 1
+    rows = hashed(seqs.select(F.lit(0).alias("grp"), F.col(seq).alias("seq")), "grp", "seq", params, limit, wanted)
     return rows.join(small(known), "hash", "left_semi").groupBy("hash").agg(F.sum("count").alias("count"))
