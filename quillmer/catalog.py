@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import streaming
-from .functions import kmers, stats
+from .functions import hashing, kmers, stats
 from .functions.kmers import _LOWER, _UPPER, COMPLEMENTS
 from .operators import compare, find, info, screen, sketch, taxonomy
 from .params import AMINO_ACIDS, SketchParams
@@ -153,9 +153,15 @@ def kmer_valid_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kmer_counts(spark: SparkSession, d: str) -> DataFrame:
-    rows = kmers.with_kmers(documents(spark, d).select("ref_idx", "seq"), "seq", TEXT)
-    per = rows.groupBy("ref_idx", "kmer").agg(F.count("*").alias("n"))
-    return per.groupBy(F.col("ref_idx").alias("doc_id")).agg(F.sum("n").alias("n_kmers"), F.count("*").alias("n_distinct"), F.max("n").alias("most"))
+    alone, rest = sketch.by_rows(documents(spark, d).select("ref_idx", "seq"), "ref_idx")
+    parts = []
+    if alone is not None:  # counted where they are read
+        parts.append(hashing.kmer_totals(alone, "ref_idx", "seq", TEXT))
+    if rest is not None:
+        per = kmers.with_kmers(rest, "seq", TEXT).groupBy("ref_idx", "kmer").agg(F.count("*").alias("n"))
+        parts.append(per.groupBy("ref_idx").agg(F.sum("n").alias("n_kmers"), F.count("*").alias("n_distinct"), F.max("n").alias("most")))
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return out.withColumnRenamed("ref_idx", "doc_id")
 
 
 def revcomp(spark: SparkSession, d: str) -> DataFrame:

@@ -431,6 +431,52 @@ def whole(df: DataFrame, group: str, seq: str, params: SketchParams) -> DataFram
     return rows.mapInArrow(run, T.StructType([T.StructField(group, kind), T.StructField("length", T.LongType()), T.StructField("hashes", longs), T.StructField("counts", longs)]))
 
 
+class _Coder(KmerHasher):
+    """K-mers as numbers in the base of the alphabet, instead of hashes."""
+
+    def _of(self, both: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        digit = np.zeros(256, np.int64)
+        letters = self.params.alphabet.encode()
+        digit[list(letters)] = np.arange(len(letters))
+        out, values = np.zeros(len(starts), np.int64), digit[both]
+        for i in range(self.params.kmer):
+            out *= len(letters)
+            out += values[starts + i]
+        return out
+
+
+def kmer_totals(df: DataFrame, group: str, seq: str, params: SketchParams) -> DataFrame:
+    """(group, n_kmers, n_distinct, most) of each row that has a k-mer, where a group is one row; k-mers must fit a long and not be canonical."""
+    rows = spread(df.select(F.col(group).alias("grp"), F.col(seq).cast("binary").alias("seq")).where("seq is not null"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = _Coder(params)
+        for b in batches:
+            of, told, open_ = [], [], (-1, np.zeros(0, np.int64))
+
+            def closed() -> None:
+                if len(open_[1]):
+                    count = counted(open_[1])[1]
+                    of.append(open_[0])
+                    told.append((len(open_[1]), len(count), int(count.max())))
+
+            for row, ends, codes in tool.blocks(b.column("seq")):
+                start = 0
+                for i, end in zip(row.tolist(), ends.tolist(), strict=True):
+                    if i != open_[0]:
+                        closed()
+                        open_ = i, codes[start:end]
+                    else:  # a long row, piece by piece
+                        open_ = i, np.append(open_[1], codes[start:end])
+                    start = end
+            closed()
+            columns = np.array(told, np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([b.column("grp").take(pa.array(of, pa.int64())), *(pa.array(columns[:, c]) for c in range(3))], [group, "n_kmers", "n_distinct", "most"])
+
+    fields = [T.StructField(x, T.LongType()) for x in ("n_kmers", "n_distinct", "most")]
+    return rows.mapInArrow(run, T.StructType([T.StructField(group, df.schema[group].dataType), *fields]))
+
+
 def register(spark, params: SketchParams | None = None, name: str = "kmer_hash") -> None:
     """SQL function ``kmer_hash(kmer)``: the stored hash of a k-mer of the parameters' size, canonical if they say so; null if it isn't valid."""
     params = params or SketchParams()
